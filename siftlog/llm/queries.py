@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, gracehash, records
+from siftlog.llm import bpe, gracehash, langid, mixing, records
 from siftlog.session import ship
 
 
@@ -26,10 +26,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_langid(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_records(spark, sf_dir):
     out = records.token_records(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "length")
@@ -40,10 +48,11 @@ def op9_gracehash(spark, sf_dir):
 
 
 SQL = {
+    "op2_mixing": mixing.RESULT_SQL,
     "op9_gracehash": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op8_records, op9_gracehash)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op6_langid, op8_records, op9_gracehash)}

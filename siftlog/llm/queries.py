@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, gracehash, langid, mixing, records
+from siftlog.llm import bpe, gracehash, langid, linkgraph, mixing, records
 from siftlog.session import ship
 
 
@@ -38,6 +38,15 @@ def op6_langid(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+#: (verdict, host/path); the longest rule that fits decides.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op7_linkgraph(spark, sf_dir):
+    ship(spark)
+    return linkgraph.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
 def op8_records(spark, sf_dir):
     out = records.token_records(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "length")
@@ -48,6 +57,7 @@ def op9_gracehash(spark, sf_dir):
 
 
 SQL = {
+    "op7_linkgraph": linkgraph.oracle(RULES),
     "op2_mixing": mixing.RESULT_SQL,
     "op9_gracehash": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -55,4 +65,4 @@ SQL = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op6_langid, op8_records, op9_gracehash)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op6_langid, op7_linkgraph, op8_records, op9_gracehash)}

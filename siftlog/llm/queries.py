@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, gracehash, langid, linkgraph, mixing, records
+from siftlog.llm import bpe, feistel, gracehash, langid, linkgraph, mixing, records
 from siftlog.session import ship
 
 
@@ -56,6 +56,13 @@ def op9_gracehash(spark, sf_dir):
     return gracehash.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_feistel(spark, sf_dir):
+    """The key is a constant here so that reruns agree; a real run takes it from a secret store."""
+    out = feistel.pseudonymize(documents(spark, sf_dir), key="siftlog test key")
+    count = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in feistel.KINDS]
+    return out.select("doc_id", F.size("found").cast("long").alias("n_replaced"), *count, "text")
+
+
 SQL = {
     "op7_linkgraph": linkgraph.oracle(RULES),
     "op2_mixing": mixing.RESULT_SQL,
@@ -65,4 +72,4 @@ SQL = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op6_langid, op7_linkgraph, op8_records, op9_gracehash)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op6_langid, op7_linkgraph, op8_records, op9_gracehash, op10_feistel)}

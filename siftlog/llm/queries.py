@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, feistel, gracehash, langid, linkgraph, mixing, records
+from siftlog.llm import bpe, feistel, gracehash, langid, linkgraph, mixing, records, setsketch
 from siftlog.session import ship
 
 
@@ -34,6 +34,10 @@ def op4_bpe(spark, sf_dir):
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_setsketch(spark, sf_dir):
+    return setsketch.near_duplicates(documents(spark, sf_dir), k=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_langid(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
@@ -72,4 +76,4 @@ SQL = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op6_langid, op7_linkgraph, op8_records, op9_gracehash, op10_feistel)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op5_setsketch, op6_langid, op7_linkgraph, op8_records, op9_gracehash, op10_feistel)}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, feistel, gracehash, langid, linkgraph, mixing, records, setsketch
+from siftlog.llm import bpe, feistel, gracehash, langid, linkgraph, mixing, records, rindex, setsketch
 from siftlog.session import ship
 
 
@@ -30,6 +30,11 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_rindex(spark, sf_dir):
+    out = rindex.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -63,8 +68,11 @@ def op9_gracehash(spark, sf_dir):
 def op10_feistel(spark, sf_dir):
     """The key is a constant here so that reruns agree; a real run takes it from a secret store."""
     out = feistel.pseudonymize(documents(spark, sf_dir), key="siftlog test key")
-    count = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in feistel.KINDS]
-    return out.select("doc_id", F.size("found").cast("long").alias("n_replaced"), *count, "text")
+
+    def count(kind):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", F.size("found").cast("long").alias("n_replaced"), *map(count, feistel.KINDS), "text")
 
 
 SQL = {
@@ -76,4 +84,4 @@ SQL = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_bpe, op5_setsketch, op6_langid, op7_linkgraph, op8_records, op9_gracehash, op10_feistel)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_rindex, op4_bpe, op5_setsketch, op6_langid, op7_linkgraph, op8_records, op9_gracehash, op10_feistel)}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, feistel, gracehash, langid, linkgraph, mixing, records, rindex, setsketch
+from siftlog.llm import bpe, chroma, feistel, gracehash, langid, linkgraph, mixing, records, rindex, setsketch
 from siftlog.session import ship
 
 
@@ -26,6 +26,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_chroma(spark, sf_dir):
+    """No table has an audio column: each text's UTF-8 bytes, played as unsigned 8-bit samples at 11,025 Hz, stand in for one.
+
+    Frames are short, since texts make recordings of a second or less; the operator's defaults are for music.
+    """
+    settings = chroma.Settings(rate=11025, frame=512, hop=64, low=300.0, high=3520.0)
+    return chroma.recordings(documents(spark, sf_dir), F.col("text").cast("binary"), settings)
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -84,4 +93,4 @@ SQL = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_rindex, op4_bpe, op5_setsketch, op6_langid, op7_linkgraph, op8_records, op9_gracehash, op10_feistel)}
+QUERIES = {f.__name__: f for f in (op1_chroma, op2_mixing, op3_rindex, op4_bpe, op5_setsketch, op6_langid, op7_linkgraph, op8_records, op9_gracehash, op10_feistel)}

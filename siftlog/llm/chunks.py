@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-#: Distinct chunks that a worker remembers; when there are more it forgets all and goes on. Bounds memory, not results.
-CACHE = 300_000
+import numpy as np
+import pyarrow as pa
+
+#: Distinct chunks that a worker remembers; when there are more it forgets those not in use and goes on. Bounds memory, not results.
+CACHE = 250_000
 
 
 class ChunkCache:
-    """values(texts) gives for each text the list of its chunks' values; make(list of new chunks) works them out."""
+    """values(texts) gives for each text the list of its chunks' values; make(list of new chunks) works them out.
+
+    Operators keep one for each Python worker, from task to task.
+    """
 
     def __init__(self, make: Callable[[list[str]], list], size: int = CACHE):
         self.make, self.size, self.known = make, size, {}
 
+    def lookup(self, wanted: set[str]) -> dict:
+        """A dictionary that has at least the wanted chunks."""
+        todo = sorted(wanted.difference(self.known))
+        if len(self.known) + len(todo) > self.size:
+            self.known = {c: self.known[c] for c in wanted.intersection(self.known)}
+        if todo:
+            self.known.update(zip(todo, self.make(todo)))
+        return self.known
+
     def values(self, texts: list[str]) -> list[list]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
+        wanted: set[str] = set()
         for chunks in cut:
-            new.update(chunks)
-        new.discard("")
-        if len(self.known) + len(new) > self.size:
-            self.known = {c: v for c, v in self.known.items() if c in new}
-        todo = sorted(new.difference(self.known))
-        if todo:
-            self.known.update(zip(todo, self.make(todo)))
-        get = self.known
+            wanted.update(chunks)
+        wanted.discard("")
+        get = self.lookup(wanted)
         return [[get[c] for c in chunks if c] for chunks in cut]
 
 
-def slices(texts: list[str], limit: int = 4 << 20):
+def slices(texts: list[str], limit: int = 1 << 20):
     """Runs of consecutive texts of about limit characters, so that what is held at a time doesn't follow the batch size."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -39,3 +49,96 @@ def slices(texts: list[str], limit: int = 4 << 20):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def text_slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, bytes, offsets) over runs of rows of about limit bytes of a text column without nulls."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        end = min(end, len(column))
+        yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1]
+        at = end
+
+
+_rng = np.random.Generator(np.random.PCG64(4931))
+_CODE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
+_CUT = np.zeros(256, bool)
+_CUT[[10, 32]] = True
+_CODE[:, _CUT] = 0
+
+
+class ByteChunks:
+    """The same in numpy, over the texts' bytes: each chunk becomes a row of small integers, and a text the rows of its chunks on end.
+
+    A chunk is known by two independent 64-bit hashes of its bytes. The table keeps up to `size` chunks (about 40 bytes each).
+    """
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], kind: str, size: int = 1_500_000):
+        self.make, self.kind, self.size = make, np.dtype(kind), size
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(integers of all texts on end, where each text's integers begin and the last ends) for texts that offsets cut data (UTF-8) into."""
+        base = offsets - offsets[0]
+        none = np.zeros(0, self.kind), np.zeros(len(base), np.int64)
+        if not len(data):
+            return none
+        gap = _CUT[data]
+        begin = ~gap
+        begin[1:] &= gap[:-1]
+        edge = base[:-1][base[:-1] < base[1:]]
+        begin[edge] |= ~gap[edge]
+        first = np.flatnonzero(begin)
+        if not len(first):
+            return none
+        sizes = np.diff(np.append(first, len(data)))
+        body = data[first[0] :]
+        place = np.arange(len(body)) - np.repeat(first - first[0], sizes)
+        hashes = []
+        for code, step in zip(_CODE, _STEP):
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), step)]))
+            h = np.add.reduceat(code[body] * power[place], first - first[0])
+            hashes.append((h ^ (h >> np.uint64(29))) * step)
+        del place, power
+        keys, where, inverse = np.unique(hashes[0], return_index=True, return_inverse=True)
+        entry = self._entries(keys, hashes[1][where], data, first[where], base)[inverse]
+        if (self.checks[entry] != hashes[1]).any():  # two chunks share one of the hashes
+            return self._one_by_one(data, base)
+        count = self.count[entry]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        picked = np.repeat(self.start[entry] - upto[:-1], count) + np.arange(upto[-1])
+        return self.pool[picked], upto[np.searchsorted(first, base)]
+
+    def _entries(self, keys: np.ndarray, checks: np.ndarray, data: np.ndarray, first: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Where the distinct sorted keys stand in the table; those it lacks are worked out and put in."""
+        if len(self.keys) + len(keys) > self.size:
+            self._clear()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            stops = np.sort(np.concatenate([np.flatnonzero(_CUT[data]), base[1:]]))
+            raw, a = data.tobytes(), first[new]
+            ends = stops[np.searchsorted(stops, a, "right")]
+            values = self.make([raw[i:j].decode() for i, j in zip(a.tolist(), ends.tolist())])
+            sizes = np.array([len(v) for v in values], np.int64) // self.kind.itemsize
+            starts = len(self.pool) + np.cumsum(sizes) - sizes
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(values), self.kind)])
+            order = np.argsort(np.concatenate([self.keys, keys[new]]), kind="stable")
+            self.keys, self.checks, self.start, self.count = (np.concatenate(x)[order] for x in ((self.keys, keys[new]), (self.checks, checks[new]), (self.start, starts), (self.count, sizes)))
+            at = np.searchsorted(self.keys, keys)
+        return at
+
+    def _one_by_one(self, data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, out = data.tobytes(), []
+        for i, j in zip(base[:-1].tolist(), base[1:].tolist()):
+            out.append(b"".join(self.make([c for c in raw[i:j].decode().replace("\n", " ").split(" ") if c])))
+        return np.frombuffer(b"".join(out), self.kind), np.concatenate([[0], np.cumsum([len(x) // self.kind.itemsize for x in out])])

@@ -1,7 +1,7 @@
 """Near-duplicate detection on word shingles with SetSketch registers.
 
 A sketch has M registers. Register i is the maximum over a set's elements of floor(1 - log_b(x)), x exponential with rate A and
-drawn from a hash of element and i: minima on an exponential scale, truncated to a byte. Maxima of two sketches are the
+drawn from a hash of element and i: minima on an exponential scale, truncated to two bytes. Maxima of two sketches are the
 sketch of the union, and two registers agree with a probability that rises with the Jaccard similarity J (about J for J near
 1). Bands of R registers are the candidate keys: with 18 bands of 4, a pair at J = 0.8 shares none with probability 4e-5.
 
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlog.llm.chunks import text_slices
 from siftlog.llm.components import components
 from siftlog.session import written
 
 R, BANDS = 4, 18
 M = R * BANDS
-BASE = 1.2
-A = BASE**24
+#: Two bytes for a register, as fine as they allow: registers of unlike sets agree with probability 0.0005, not the 0.09 of
+#: byte-sized ones, so a band of 4 brings together texts that are alike, whatever the number of documents.
+BASE, A, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Pairs whose estimate is lower are not compared: 5 standard deviations of an estimate at 0.8 below 0.8.
 LEAST_ESTIMATE_BELOW = 0.24
 #: Nodes in a block of a bucket that is compared as a whole.
@@ -98,14 +100,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """The registers (uint8) of a set of hashes; zeros for the empty set."""
+    """The registers (uint16) of a set of hashes; zeros for the empty set."""
     if not len(elements):
-        return np.zeros(M, np.uint8)
+        return np.zeros(M, np.uint16)
     least = np.full(M, ~np.uint64(0))
     for a in range(0, len(elements), 2048):
         least = np.minimum(least, ((elements[a : a + 2048, None] ^ _XOR) * _MUL).min(axis=0))
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / A
-    return np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / np.log(BASE)), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,19 +137,6 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end, bytes, offsets) over runs of rows of about limit bytes of a text column without nulls."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        end = min(end, len(column))
-        yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1]
-        at = end
-
-
 _NODES = "doc_id long, digest binary, n_shingles long, node binary, sketch binary"
 _NODES_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary())])
 
@@ -240,7 +229,7 @@ def _groups(batches, width: int) -> Iterator[tuple[tuple, list]]:
 def _pairs(band: int, i: int, j: int, rows: list, least: float, ratio: float) -> Iterator[tuple[int, int]]:
     """Pairs of rows (block, node, root, n, sketch, ...) in two blocks of a bucket, of different roots, that may be linked and whose first common band this is."""
     block = np.array([r[0] for r in rows])
-    regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, M)
+    regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, M)
     n = np.array([r[3] for r in rows], np.float64)
     _, root = np.unique(np.array([r[2] for r in rows], dtype=object), return_inverse=True)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -293,7 +282,7 @@ def _verify_blocks(least: float, ratio: float, num: int, den: int):
 def _buckets(nodes: DataFrame) -> DataFrame:
     """band, key, node for each band of each node; equal (band, key) means equal registers in that band."""
     at = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    return nodes.select("node", "sketch", at.alias("band")).select("band", F.expr(f"substring(sketch, band * {R} + 1, {R})").alias("key"), "node")
+    return nodes.select("node", "sketch", at.alias("band")).select("band", F.expr(f"substring(sketch, band * {2 * R} + 1, {2 * R})").alias("key"), "node")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

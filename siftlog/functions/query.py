@@ -26,7 +26,7 @@ def _ipv4(text: str) -> bool:
 
 def _ipv6(text: str) -> bool:
     try:
-        return "%" not in text and bool(ipaddress.IPv6Address(text))
+        return "%" not in text and text != "::" and bool(ipaddress.IPv6Address(text))
     except ValueError:
         return False
 

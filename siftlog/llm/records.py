@@ -13,9 +13,12 @@ scanning the shards, which checks every frame on the way.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftlog.llm.chunks import ChunkCache, slices
+from siftlog.llm.chunks import ByteChunks, ChunkCache, text_slices
 from siftlog.session import new_path
 
 _LEN, _SUM, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB")
@@ -66,30 +69,92 @@ def unpack(payload) -> tuple[int | None, np.ndarray]:
     return None if none else doc_id, np.frombuffer(payload[_HEAD.size :], "<u2" if width == 2 else "<u4")
 
 
-def library_encoder(path: str):
-    """(function from chunks to their ids as bytes, bytes for an id) with the tokenizers library."""
-    import os
+#: Words or chunks that the library encodes in one call.
+TOGETHER = 1024
+#: A chunk of these letters, each a letter in every normal form and in lower case, and then of these marks.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_padding()
-    t.no_truncation()
-    width = 2 if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-    kind = "<u2" if width == 2 else "<u4"
-    return lambda chunks: [np.array(e.ids, kind).tobytes() for e in t.encode_batch(chunks, add_special_tokens=False)], width
+class LibraryEncoder:
+    """Ids of chunks, as bytes, with the tokenizers library.
+
+    The library's calls cost more than its work on a short text, so many texts share a call where the result shows where each
+    ends. Where the vocabulary ends every word with a token of its own kind, words of plain letters are joined by spaces: each
+    has one such token, its last. Other chunks are joined by a special token, at which the library cuts a text before anything
+    else; a chunk that could hold a part of a special token is encoded by itself.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        t = self.library = Tokenizer.from_file(path)
+        t.no_padding()
+        t.no_truncation()
+        size = t.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4
+        self.kind = "<u2" if self.width == 2 else "<u4"
+        added = t.get_added_tokens_decoder()
+        self.between = next(((i, x.content) for i, x in added.items() if x.special and not (x.normalized or x.lstrip or x.rstrip or x.single_word)), None)
+        self.special = {c for x in added.values() for c in (x.content[0], x.content[-1])}
+        self.words = ChunkCache(self._words)
+        suffix, self.last = getattr(t.model, "end_of_word_suffix", None), None
+        if suffix:
+            self.last = np.zeros(size, bool)
+            self.last[[i for x, i in t.get_vocab(with_added_tokens=False).items() if x.endswith(suffix)]] = True
+            probe = ["a", "it", "is", "zz", ".,", "\u00e9t\u00e9", "."]
+            if self._words(probe) != [self._one(x) for x in probe]:
+                self.last = None  # words are not cut at white space and marks, as assumed
+
+    def _one(self, chunk: str) -> bytes:
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _cut(self, text: str, ends) -> tuple[bytes, list[int]]:
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        return ids.tobytes(), np.flatnonzero(ends(ids)).tolist()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out, w = [], self.width
+        for k in range(0, len(words), TOGETHER):
+            block = words[k : k + TOGETHER]
+            raw, last = self._cut(" ".join(block), lambda ids: self.last[ids])
+            if len(last) == len(block):
+                out += [raw[w * a : w * e] for a, e in zip([0, *[x + 1 for x in last[:-1]]], [x + 1 for x in last])]
+            else:
+                out += [self._one(x) for x in block]
+        return out
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        plain = [_PLAIN.fullmatch(c) for c in chunks] if self.last is not None else [None] * len(chunks)
+        known = self.words.lookup({x for m in plain if m for x in m.groups() if x})
+        known[""] = b""
+        rest = [c for c, m in zip(chunks, plain) if not m]
+        odd: dict[str, bytes] = {c: self._one(c) for c in rest if self.between is None or not self.special.isdisjoint(c)}
+        rest, w = [c for c in rest if c not in odd], self.width
+        for k in range(0, len(rest), TOGETHER):
+            block = rest[k : k + TOGETHER]
+            raw, marks = self._cut(self.between[1].join(block), lambda ids: ids == self.between[0])
+            odd.update((c, raw[w * a : w * e]) for c, a, e in zip(block, [0, *[x + 1 for x in marks]], [*marks, len(raw) // w]))
+        return [known[m[1]] + known[m[2]] if m else odd[c] for c, m in zip(chunks, plain)]
+
+
+@lru_cache(maxsize=2)
+def library_cache(path: str) -> tuple[ByteChunks, int]:
+    """(ids of the chunks of texts, bytes for an id); a Python worker keeps it from task to task."""
+    encoder = LibraryEncoder(path)
+    return ByteChunks(encoder.chunks, encoder.kind), encoder.width
 
 
 def _encode(tokenizer: str, end_id: int | None):
     def run(batches):
-        make, width = library_encoder(tokenizer)
-        cache = ChunkCache(make)
+        cache, width = library_cache(tokenizer)
         end = b"" if end_id is None else end_id.to_bytes(width, "little")
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in slices(texts):
-                rows = [frame(pack(d, b"".join(parts) + end, width)) for d, parts in zip(ids[i:j], cache.values(texts[i:j]))]
+            keys = b.column(0).to_pylist()
+            for i, j, data, offsets in text_slices(b.column(1)):
+                ids, at = cache.rows(data, offsets)
+                raw, at = ids.tobytes(), (at * width).tolist()
+                rows = [frame(pack(d, raw[x:y] + end, width)) for d, x, y in zip(keys[i:j], at, at[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["frame"])
 
     return run
@@ -102,9 +167,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     id follow one another in the order of their texts. Other columns are not read. No rows give a folder without records.
     Texts are sorted before they are encoded, since they pack better than ids: the one shuffle carries them alone.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # Spark cuts the ranges and merges small ones; neighbours stay neighbours, so file names follow the order of the ids.
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(_encode(tokenizer, end_id), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 

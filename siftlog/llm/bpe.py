@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.llm.chunks import ChunkCache, slices
+from siftlog.llm.chunks import ByteChunks, text_slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -261,7 +261,7 @@ class Bpe:
 
     def decode(self, ids) -> str:
         """The tokens' texts, joined by spaces: what a vocabulary file without a decoder means. Unknown ids are left out."""
-        return " ".join([self.text[i] for i in ids if i in self.text])
+        return " ".join([x for x in map(self.text.get, ids) if x is not None])
 
 
 @lru_cache(maxsize=2)
@@ -271,19 +271,26 @@ def load(path: str) -> Bpe:
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each whole text, for callers on one machine."""
-    bpe = load(path)
-    return [np.frombuffer(b"".join(parts), "<u4") for parts in ChunkCache(bpe.encode_chunks).values(texts)]
+    return [np.frombuffer(b"".join(x for x, _ in parts), "<u4") for parts in worker_cache(path).values(texts)]
 
 
-def _chunk_maker(bpe: Bpe):
-    def make(chunks):
-        ids = bpe.encode_chunks(chunks)
-        return [(x, bpe.decode(np.frombuffer(x, "<u4").tolist())) for x in ids]
+@lru_cache(maxsize=2)
+def worker_cache(path: str) -> ByteChunks:
+    """The ids of the chunks of texts; a Python worker keeps them from task to task."""
+    return ByteChunks(load(path).encode_chunks, "<u4")
 
-    return make
 
+def encode(texts: list[str], path: str) -> list[np.ndarray]:
+    """Ids of each whole text, for callers on one machine."""
+    out = []
+    for _, _, data, offsets in text_slices(pa.array(texts, pa.string())):
+        ids, at = worker_cache(path).rows(data, offsets)
+        out += [ids[x:y] for x, y in zip(at.tolist(), at[1:].tolist())]
+    return out
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,35 +301,47 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """
 
     def run(batches):
-        bpe = load(tokenizer)
-        cache = ChunkCache(_chunk_maker(bpe))
+        bpe, cache = load(tokenizer), worker_cache(tokenizer)
         for b in batches:
-            keys, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in slices(texts):
-                found = cache.values(texts[i:j])
-                ids = [np.frombuffer(b"".join(x for x, _ in parts), "<u4").astype(np.int32) for parts in found]
-                text = [" ".join(d for _, d in parts if d) for parts in found]
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(ids, pa.list_(pa.int32())), pa.array(text, pa.string())], names=["doc_id", "ids", "decoded"])
+            for i, j, data, offsets in text_slices(b.column(1)):
+                ids, at = cache.rows(data, offsets)
+                texts = [bpe.decode(ids[x:y].tolist()) for x, y in zip(at.tolist(), at[1:].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+
+    return _text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Training rows: doc_id, source, n_tokens, ids (array of int). Null text gives no ids; rows that repeat stay repeated."""
+
+    def run(batches):
+        cache = worker_cache(tokenizer)
+        for b in batches:
+            for i, j, data, offsets in text_slices(b.column(2)):
+                ids, at = cache.rows(data, offsets)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(np.diff(at)), lists], names=["doc_id", "source", "n_tokens", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>")
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode_documents() gives, without moving ids and texts out of the workers."""
 
     def run(batches):
-        bpe = load(tokenizer)
-        cache = ChunkCache(_chunk_maker(bpe))
+        bpe, cache = load(tokenizer), worker_cache(tokenizer)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in slices(texts):
+            for i, j, data, offsets in text_slices(b.column(1)):
+                ids, at = cache.rows(data, offsets)
                 rows = []
-                for key, parts in zip(keys[i:j], cache.values(texts[i:j])):
-                    ids = b"".join([x for x, _ in parts])
-                    text = " ".join([d for _, d in parts if d])
-                    rows.append((key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types)], schema=_OUT)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                for x, y in zip(at.tolist(), at[1:].tolist()):
+                    text = bpe.decode(ids[x:y].tolist()).encode()
+                    rows.append((y - x, hashlib.sha256(ids[x:y].tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types[1:])]], schema=_OUT)
+
+    return _text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

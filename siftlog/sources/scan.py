@@ -117,7 +117,7 @@ def scan_text(spark: SparkSession, *paths: str) -> DataFrame:
     ship(spark)
     out = []
     for i, p in enumerate(expand(list(paths))):
-        rows = spark.read.option("lineSep", "\n").text(p).select(F.lit(i).cast("long").alias("source_index"), F.lit(p).alias("source"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
+        rows = spark.read.option("lineSep", "\n").text(p).select(F.lit(i).cast("long").alias("source_index"), F.lit(p).alias("source"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"\r\z", "").alias("value"))
         out.append(rows)
     rows = out[0]
     for r in out[1:]:
@@ -154,9 +154,9 @@ def _finished(rows: DataFrame) -> DataFrame:
 def lines_of(df: DataFrame, index: Column, text: Column, source: Column | None = None) -> DataFrame:
     """Lines of a text column: one record for each line of each row, numbered from 1. Null text has none."""
     name = index.cast("string") if source is None else source
-    parts = F.split(F.regexp_replace(text, "\n$", ""), "\n")
+    parts = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
     rows = df.where(text.isNotNull() & (text != "")).select(index.cast("long").alias("source_index"), name.alias("source"), F.posexplode(parts).alias("p", "v"))
-    return _finished(rows.select("source_index", "source", (F.col("p") + 1).cast("long").alias("line_number"), F.regexp_replace("v", "\r$", "").alias("value")))
+    return _finished(rows.select("source_index", "source", (F.col("p") + 1).cast("long").alias("line_number"), F.regexp_replace("v", r"\r\z", "").alias("value")))
 
 
 def json_field(df: DataFrame, index: Column, document: Column, field: str, source: Column | None = None) -> DataFrame:

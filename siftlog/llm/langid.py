@@ -9,15 +9,17 @@ the posterior of the best language. Words are runs of letters, in lower case; a
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlog.llm.bpe import KeyMap
-from siftlog.llm.chunks import ChunkCache, slices
+from siftlog.llm.chunks import ByteChunks, text_slices
 
 LONGEST = 32
 UNKNOWN = 1e-7
@@ -177,11 +179,17 @@ def learn(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: st
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def judge(texts: list[str], cache: ChunkCache, langs: list[str]) -> list[tuple[str, float]]:
-    out, k = [], len(langs)
-    for parts in cache.values(texts):
-        sums = np.frombuffer(b"".join(parts), np.float64).reshape(-1, k + 1).sum(axis=0)
-        if not k or not sums[k]:
+def judge(data: np.ndarray, offsets: np.ndarray, cache: ByteChunks, langs: list[str]) -> list[tuple[str, float]]:
+    """(language, posterior) of each text."""
+    k = len(langs)
+    rows, at = cache.rows(data, offsets)
+    rows, at = rows.reshape(-1, k + 1), at // (k + 1)
+    total, some = np.zeros((len(at) - 1, k + 1)), at[1:] > at[:-1]
+    if some.any():
+        total[some] = np.add.reduceat(rows, at[:-1][some], axis=0)
+    out = []
+    for sums in total:
+        if not k or sums[k] < 0.5:
             out.append(("und", 0.0))
             continue
         odds = np.exp(sums[:k] - sums[:k].max())
@@ -191,7 +199,7 @@ def judge(texts: list[str], cache: ChunkCache, langs: list[str]) -> list[tuple[s
 
 
 def chunk_scores(pieces: Pieces, p: np.ndarray):
-    """For ChunkCache: each chunk's log probabilities and its number of letters, as bytes."""
+    """For ByteChunks: each chunk's log probabilities and its number of letters, as bytes."""
 
     def make(chunks):
         words = [letters(c) for c in chunks]
@@ -207,6 +215,18 @@ def chunk_scores(pieces: Pieces, p: np.ndarray):
     return make
 
 
+_worker: dict = {}
+
+
+def worker_cache(vocabulary: str, p: np.ndarray) -> ByteChunks:
+    """A Python worker keeps one, for the model that it used last."""
+    key = (vocabulary, hashlib.sha256(p.tobytes()).digest())
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = ByteChunks(chunk_scores(Pieces(vocabulary), p), "<f8", size=800_000)
+    return _worker[key]
+
+
 def identify(docs: DataFrame, vocabulary: str, model=None, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 800) -> DataFrame:
     """One row for each input row: doc_id, held_out, lang_pred, score.
 
@@ -219,14 +239,13 @@ def identify(docs: DataFrame, vocabulary: str, model=None, lang_col: str = "lang
 
     def run(batches):
         langs, p = sent.value
-        cache = ChunkCache(chunk_scores(Pieces(vocabulary), p))
+        cache = worker_cache(vocabulary, p)
         for b in batches:
-            ids, held, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), [t or "" for t in b.column(2).to_pylist()]
-            for i, j in slices(texts):
-                rows = [(d, h, *r) for d, h, r in zip(ids[i:j], held[i:j], judge(texts[i:j], cache, langs))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types)], schema=_OUT)
+            for i, j, data, offsets in text_slices(b.column(2)):
+                found = judge(data, offsets, cache, langs)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([r[0] for r in found]), pa.array([r[1] for r in found], pa.float64())], schema=_OUT)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -243,11 +262,11 @@ def keep_known(docs: DataFrame, vocabulary: str, least: float = 0.5, accept: lis
 
     def run(batches):
         langs, p = sent.value
-        cache = ChunkCache(chunk_scores(Pieces(vocabulary), p))
+        cache = worker_cache(vocabulary, p)
         for b in batches:
-            texts, keep = [t or "" for t in b.column(where).to_pylist()], []
-            for i, j in slices(texts):
-                keep += [x != "und" and s >= least and (accept is None or x in accept) for x, s in judge(texts[i:j], cache, langs)]
+            keep = []
+            for _, _, data, offsets in text_slices(pc.fill_null(b.column(where), "")):
+                keep += [x != "und" and s >= least and (accept is None or x in accept) for x, s in judge(data, offsets, cache, langs)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keep, pa.bool_())], names=[*b.schema.names, mark])
 
     return docs.mapInArrow(run, schema).where(F.col(mark)).drop(mark)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,8 +221,6 @@ class OnnxEmbedder:
         return run
 
     def vectors(self, texts):
-        import pandas as pd
-
         own = OnnxEmbedder.__new__(OnnxEmbedder)
         own.__dict__.update(self.__dict__ | {"_run": None})
 

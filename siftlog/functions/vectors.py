@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ def normalized(a: Column) -> Column:
 
 def fast_dot(query: list[float]):
     """A Pandas UDF for scans over very many vectors: whole Arrow batches through numpy. Sums may differ from dot() in the last bits."""
-    import pandas as pd
-
     q = np.asarray(query, np.float64)
 
     @F.pandas_udf("double")

@@ -399,11 +399,11 @@ def w9_group_lexical(spark, sf_dir):
     return _found(spark, sf_dir, GROUPED, 3, "lexical", True)
 
 
-@query(f"""WITH t AS ({_bm25_sql(EVENT_LINES, Query.of('1234').terms)} SELECT row_number() OVER (ORDER BY contains(text, '1234') DESC, bm25::FLOAT DESC, source_index) AS rank, source_index, text, bm25::FLOAT AS score FROM sc WHERE bm25 > 0 QUALIFY rank <= 5)
+@query(f"""WITH t AS ({_bm25_sql(EVENT_LINES, Query.of('777').terms)} SELECT row_number() OVER (ORDER BY contains(text, '777') DESC, bm25::FLOAT DESC, source_index) AS rank, source_index, text, bm25::FLOAT AS score FROM sc WHERE bm25 > 0 QUALIFY rank <= 5)
 SELECT 'line 1: ' || printf('%.4f', score::DOUBLE) || ': ' || text AS shown, rank FROM t""")
 def k3_text_lines(spark, sf_dir):
     """Results as lines of text."""
-    got = search(_event_index(spark, sf_dir), "1234", EMBEDDER, 5, "auto", check=False).matches
+    got = search(_event_index(spark, sf_dir), "777", EMBEDDER, 5, "lexical", check=False).matches
     return got.select(T.line_label(F.col("source"), F.col("kind") == "element", F.col("line"), F.col("score"), F.col("text"), F.lit(False)).alias("shown"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -77,4 +77,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     # Shuffle files go when the driver's JVM finds that no plan needs them any more; else they stay for as long as it runs.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siftlog_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t._siftlog_path)

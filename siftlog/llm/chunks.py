@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +14,26 @@ import pyarrow as pa
 CACHE = 250_000
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What make() gives; a Python worker keeps the one thing that it used last, from task to task."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Give back what the operators that ran before in this worker have kept."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class ChunkCache:
     """values(texts) gives for each text the list of its chunks' values; make(list of new chunks) works them out.
 
@@ -72,19 +95,33 @@ _CUT[[10, 32]] = True
 _CODE[:, _CUT] = 0
 
 
+def _stretches(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ..., count of them, for each pair, on end."""
+    upto = np.cumsum(count)
+    return np.repeat(start - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class ByteChunks:
     """The same in numpy, over the texts' bytes: each chunk becomes a row of small integers, and a text the rows of its chunks on end.
 
-    A chunk is known by two independent 64-bit hashes of its bytes. The table keeps up to `size` chunks (about 40 bytes each).
+    A chunk is known by two independent 64-bit hashes of its bytes. The table keeps up to `size` chunks (about 50 bytes each);
+    when it is full, those go that were met least often, counting each call once.
     """
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], kind: str, size: int = 1_500_000):
+    def __init__(self, make: Callable[[list[str]], list[bytes]], kind: str, size: int = 600_000):
         self.make, self.kind, self.size = make, np.dtype(kind), size
-        self._clear()
-
-    def _clear(self) -> None:
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.hits = np.zeros(0, np.int32)
+
+    def _prune(self) -> None:
+        least = 2
+        while (self.hits >= least).sum() > self.size // 2:
+            least *= 2
+        keep = np.flatnonzero(self.hits >= least)
+        self.pool = self.pool[_stretches(self.start[keep], self.count[keep])]
+        self.keys, self.checks, self.count, self.hits = (x[keep] for x in (self.keys, self.checks, self.count, self.hits))
+        self.start = np.cumsum(self.count) - self.count
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(integers of all texts on end, where each text's integers begin and the last ends) for texts that offsets cut data (UTF-8) into."""
@@ -110,18 +147,19 @@ class ByteChunks:
             hashes.append((h ^ (h >> np.uint64(29))) * step)
         del place, power
         keys, where, inverse = np.unique(hashes[0], return_index=True, return_inverse=True)
-        entry = self._entries(keys, hashes[1][where], data, first[where], base)[inverse]
+        entry = self._entries(keys, hashes[1][where], data, first[where], base)
+        self.hits[entry] += 1
+        entry = entry[inverse]
         if (self.checks[entry] != hashes[1]).any():  # two chunks share one of the hashes
             return self._one_by_one(data, base)
         count = self.count[entry]
         upto = np.concatenate([[0], np.cumsum(count)])
-        picked = np.repeat(self.start[entry] - upto[:-1], count) + np.arange(upto[-1])
-        return self.pool[picked], upto[np.searchsorted(first, base)]
+        return self.pool[_stretches(self.start[entry], count)], upto[np.searchsorted(first, base)]
 
     def _entries(self, keys: np.ndarray, checks: np.ndarray, data: np.ndarray, first: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Where the distinct sorted keys stand in the table; those it lacks are worked out and put in."""
         if len(self.keys) + len(keys) > self.size:
-            self._clear()
+            self._prune()
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
@@ -133,7 +171,8 @@ class ByteChunks:
             starts = len(self.pool) + np.cumsum(sizes) - sizes
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(values), self.kind)])
             order = np.argsort(np.concatenate([self.keys, keys[new]]), kind="stable")
-            self.keys, self.checks, self.start, self.count = (np.concatenate(x)[order] for x in ((self.keys, keys[new]), (self.checks, checks[new]), (self.start, starts), (self.count, sizes)))
+            none = np.zeros(len(new), np.int32)
+            self.keys, self.checks, self.start, self.count, self.hits = (np.concatenate(x)[order] for x in ((self.keys, keys[new]), (self.checks, checks[new]), (self.start, starts), (self.count, sizes), (self.hits, none)))
             at = np.searchsorted(self.keys, keys)
         return at
 

@@ -18,7 +18,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftlog.llm.chunks import ByteChunks, ChunkCache, text_slices
+from siftlog.llm.chunks import ByteChunks, ChunkCache, held, text_slices
 from siftlog.session import new_path
 
 _LEN, _SUM, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB")
@@ -97,7 +96,7 @@ class LibraryEncoder:
         added = t.get_added_tokens_decoder()
         self.between = next(((i, x.content) for i, x in added.items() if x.special and not (x.normalized or x.lstrip or x.rstrip or x.single_word)), None)
         self.special = {c for x in added.values() for c in (x.content[0], x.content[-1])}
-        self.words = ChunkCache(self._words)
+        self.words = ChunkCache(self._words, 100_000)
         suffix, self.last = getattr(t.model, "end_of_word_suffix", None), None
         if suffix:
             self.last = np.zeros(size, bool)
@@ -138,11 +137,14 @@ class LibraryEncoder:
         return [known[m[1]] + known[m[2]] if m else odd[c] for c, m in zip(chunks, plain)]
 
 
-@lru_cache(maxsize=2)
 def library_cache(path: str) -> tuple[ByteChunks, int]:
     """(ids of the chunks of texts, bytes for an id); a Python worker keeps it from task to task."""
-    encoder = LibraryEncoder(path)
-    return ByteChunks(encoder.chunks, encoder.kind), encoder.width
+
+    def make():
+        encoder = LibraryEncoder(path)
+        return ByteChunks(encoder.chunks, encoder.kind), encoder.width
+
+    return held(("library", path), make)
 
 
 def _encode(tokenizer: str, end_id: int | None):

@@ -26,7 +26,7 @@ DATE = r"(?<![\w.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 IPV4 = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 CARD = r"(?<![\w+\-.])\d(?:[ \-]?\d){12,18}(?![\w\-]|\.\d)"
-PHONE = r"(?<![\w+(.\-])(?:\+1[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?![\w\-]|\.\d)"
+PHONE = r"(?<![\w+.\-])(?:\+1[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?![\w\-]|\.\d)"
 PATTERN = "|".join((MAIL, IBAN, DATE, SSN, IPV4, CARD, PHONE))
 
 

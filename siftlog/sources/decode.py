@@ -238,3 +238,16 @@ def records(path: str, data: bytes, field: str = "message", limits: Limits | Non
     if binary(data):
         raise EngineError("parse", "binary_file", path)
     yield from text_records(path, path, data, field)
+
+
+def read_record(path: str, record: Record, field: str = "message") -> str | None:
+    """One record's text again, from a plain or gzip file: lines by their bytes, JSON by its ordinal. Standard input and archive members can't be read twice."""
+    if path == "-" or is_archive(path):
+        raise EngineError("parse", "unsupported_format", path)
+    with open(path, "rb") as f:
+        if kind_of(path) == "lines" and not is_gzip(path):
+            f.seek(record.byte_offset)
+            return f.read(record.byte_length).decode("utf-8", "replace")[:LINE_LIMIT]
+        data = f.read()
+    found = (r for r in records(path, data, field) if r.line_number == record.line_number)
+    return next((r.text for r in found), None)

@@ -12,7 +12,7 @@ from siftlog.embed import HashEmbedder
 from siftlog.errors import EngineError, Report
 from siftlog.plans.index import Index, build, check_lexical, check_policy, policy
 from siftlog.plans.search import LogSearch, search
-from siftlog.sources.decode import Limits, records
+from siftlog.sources.decode import Limits, read_record, records
 from siftlog.sources.expand import expand, kind_of
 from siftlog.sources.scan import scan, scan_text
 
@@ -60,6 +60,17 @@ def test_binary_and_encrypted():
         list(records("a.log", b"-----BEGIN PGP MESSAGE-----\n"))
 
 
+def test_read_record_again(tmp_path):
+    for name, data in (("a.log", b"one\r\n\ntwo\n"), ("a.json", b'[{"message": "x"}, {"message": "y"}]'), ("a.jsonl", b'{"message": "x"}\n{"message": "y"}\n'), ("b.log.gz", gzip.compress(b"one\ntwo\n"))):
+        path = str(tmp_path / name)
+        (tmp_path / name).write_bytes(data)
+        for r in records(path, data):
+            if r.text:
+                assert read_record(path, r) == r.text
+    with pytest.raises(EngineError):
+        read_record("-", r)
+
+
 def tar(members, mode="w:gz"):
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode=mode) as t:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.llm.chunks import ByteChunks, text_slices
+from siftlog.llm.chunks import ByteChunks, held, text_slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -264,7 +264,7 @@ class Bpe:
         return " ".join([x for x in map(self.text.get, ids) if x is not None])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(path: str) -> Bpe:
     return Bpe(path)
 
@@ -274,6 +274,16 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(x for x, _ in parts), "<u4") for parts in worker_cache(path).values(texts)]
 
 
+def worker_cache(path: str) -> ByteChunks:
+    """The ids of the chunks of texts; a Python worker keeps them from task to task."""
+    return held(("bpe", path), lambda: ByteChunks(load(path).encode_chunks, "<u4"))
+
+
+def encode(texts: list[str], path: str) -> list[np.ndarray]:
+    """Ids of each whole text, for callers on one machine."""
+    return [np.frombuffer(b"".join(x for x, _ in parts), "<u4") for parts in worker_cache(path).values(texts)]
+
+
 @lru_cache(maxsize=2)
 def worker_cache(path: str) -> ByteChunks:
     """The ids of the chunks of texts; a Python worker keeps them from task to task."""

@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlog.llm.chunks import release
+
 #: Bytes of distinct text that one table holds before it is flushed (map side) or dealt to spill files (reduce side).
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 FANOUT_BITS = 4
 _HEAD = struct.Struct("<32sqBqqI")
 
@@ -131,6 +133,7 @@ def _emit(entries, schema, limit: int = 8 << 20, pick=lambda e: e) -> Iterator[p
 
 def _combine(budget: int):
     def run(batches):
+        release()
         table = OpenTable()
         for b in batches:
             for digest, content, top in zip(*(c.to_pylist() for c in b.columns)):
@@ -145,6 +148,7 @@ def _combine(budget: int):
 
 def _reduce(budget: int):
     def run(batches):
+        release()
         records = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         yield from _emit(grace(records, budget), _GROUPS_ARROW, pick=lambda e: (e[0], e[2], e[3], e[4]))
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlog.llm.bpe import KeyMap
-from siftlog.llm.chunks import ByteChunks, text_slices
+from siftlog.llm.chunks import ByteChunks, held, text_slices
 
 LONGEST = 32
 UNKNOWN = 1e-7
@@ -215,16 +215,9 @@ def chunk_scores(pieces: Pieces, p: np.ndarray):
     return make
 
 
-_worker: dict = {}
-
-
 def worker_cache(vocabulary: str, p: np.ndarray) -> ByteChunks:
-    """A Python worker keeps one, for the model that it used last."""
-    key = (vocabulary, hashlib.sha256(p.tobytes()).digest())
-    if key not in _worker:
-        _worker.clear()
-        _worker[key] = ByteChunks(chunk_scores(Pieces(vocabulary), p), "<f8", size=800_000)
-    return _worker[key]
+    """A Python worker keeps one, for the model that it used last, from task to task."""
+    return held(("langid", vocabulary, hashlib.sha256(p.tobytes()).digest()), lambda: ByteChunks(chunk_scores(Pieces(vocabulary), p), "<f8", size=400_000))
 
 
 def identify(docs: DataFrame, vocabulary: str, model=None, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 800) -> DataFrame:
@@ -235,6 +228,8 @@ def identify(docs: DataFrame, vocabulary: str, model=None, lang_col: str = "lang
     """
     spark = docs.sparkSession
     langs, p = model or learn(docs, vocabulary, lang_col, text_col, id_col, sample_docs)
+    if not langs:
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = spark.sparkContext.broadcast((langs, p))  # pieces x languages x 8 bytes
 
     def run(batches):
@@ -250,11 +245,13 @@ def identify(docs: DataFrame, vocabulary: str, model=None, lang_col: str = "lang
 
 
 def keep_known(docs: DataFrame, vocabulary: str, least: float = 0.5, accept: list[str] | None = None, text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, with their own columns, whose language is recognised with at least this posterior, and accepted."""
+    """The rows of docs, with their own columns, whose language is recognised with at least this posterior, and accepted. Without labelled rows none is recognised."""
     from pyspark.sql.types import BooleanType, StructField, StructType
 
     spark = docs.sparkSession
     langs, p = learn(docs, vocabulary, text_col=text_col, **how)
+    if not langs:
+        return docs.limit(0)
     sent = spark.sparkContext.broadcast((langs, p))
     mark = "__sift_keep"
     where = docs.columns.index(text_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.llm.chunks import text_slices
+from siftlog.llm.chunks import release, text_slices
 from siftlog.llm.components import components
 from siftlog.session import written
 
@@ -143,6 +143,7 @@ _NODES_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_s
 
 def _describe(k: int):
     def run(batches):
+        release()
         for b in batches:
             ids, digests = b.column(0), b.column(1)
             for i, j, data, offsets in text_slices(b.column(2)):
@@ -163,6 +164,7 @@ def _set_rows(k: int):
     schema = pa.schema([("node", pa.binary()), ("elements", pa.binary())])
 
     def run(batches):
+        release()
         for b in batches:
             for i, j, data, offsets in text_slices(b.column(1)):
                 sets = [s.tobytes() for s in shingle_sets(data, offsets, k)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.session import written
+from siftlog.session import dropped, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     now = written(links.select("u", "v").where("u <> v").distinct(), "links")
     seen = None
     for _ in range(most_rounds):
-        now = written(_star(_star(now, large=True), large=False), "links")
+        before, now = now, written(_star(_star(now, large=True), large=False), "links")
+        dropped(before)
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -25,7 +25,8 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?
 DATE = r"(?<![\w.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w\-/]|\.\d)"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 IPV4 = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
-CARD = r"(?<![\w+\-.])\d(?:[ \-]?\d){12,18}(?![\w\-]|\.\d)"
+_FOURS = "|".join((r"(?:\d{4} ){3}\d{4}", r"(?:\d{4}-){3}\d{4}", r"\d{4} \d{6} \d{5}", r"\d{4}-\d{6}-\d{5}", r"\d{13,19}"))
+CARD = rf"(?<![\w+\-.])(?:{_FOURS})(?![\w\-]|\.\d)"
 PHONE = r"(?<![\w+.\-])(?:\+1[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?![\w\-]|\.\d)"
 PATTERN = "|".join((MAIL, IBAN, DATE, SSN, IPV4, CARD, PHONE))
 

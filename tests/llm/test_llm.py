@@ -628,6 +628,11 @@ def test_invalid_values_stay(spark):
     assert r.text == text and r.found == []
 
 
+def test_cards_beside_other_digits(spark):
+    rows = spark.createDataFrame([("pay 4111111111111111 12 times, 4111 1111 1111 1111 123 or 1234567890123456",)], "text string")
+    assert [f.value for f in feistel.pseudonymize(rows, "k").first().found] == ["4111111111111111", "4111 1111 1111 1111"]
+
+
 def test_permutations_do_not_collide(spark):
     for name, f, values in (("ssn", feistel.ssn, [f"{a:03d}-{g:02d}-0001" for a in range(1, 900) if a != 666 for g in (1, 50, 99)]), ("date", feistel.date, [str(np.datetime64("1900-01-01") + i) for i in range(0, 73049, 11)])):
         rows = spark.createDataFrame([(v,) for v in values], "v string").select(f("k", F.col("v")).alias("p")).collect()

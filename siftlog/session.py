@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -69,19 +70,28 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back. Survives lost executors, unlike a local checkpoint."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    # Shuffle files go when the driver's JVM finds that no plan needs them any more; else they stay for as long as it runs.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark, large)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftlog_path = path
     return out
 
 
+def free_shuffles(spark: SparkSession, wait: bool) -> None:
+    """Shuffle files go when the driver's JVM finds that no plan needs them any more; else they stay for as long as it runs.
+
+    What listeners still hold right after a job is free a moment later: worth the wait where shuffles are large.
+    """
+    gc.collect()
+    for pause in (0.2, 0.3) if wait else (0,):
+        time.sleep(pause)
+        spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for t in tables:

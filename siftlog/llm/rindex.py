@@ -5,11 +5,13 @@ that a duplicate covers go. Judged by 100-byte windows, all of them, on the inpu
 
 1. Routing. Of the K-grams in a window the one with the least hash, leftmost on ties, is the window's anchor: it depends on the
    window's bytes alone, so equal windows have equal anchors. Consecutive windows with one anchor form a passage of less than
-   2 L bytes. A window whose anchor occurs once in the corpus can't repeat: only anchors that occur twice go on.
-2. Passages with equal bytes are combined, with their first place and number, before they are dealt out by anchor, so what a
-   third of all documents share arrives once. An anchor with very many different passages is dealt out by single windows.
-3. Index. Over a batch of passages: suffix array, Burrows-Wheeler transform kept as its runs, text positions sampled at both
-   ends of every run. Passages are streamed through it from right to left; the matching statistics give for each position the
+   2 L bytes. A window whose anchor occurs once in the corpus can't repeat: only anchors that occur twice go on, and all
+   places of an anchor take the route of the first document that has it. Passages that touch and go one way form a piece.
+2. Pieces with equal bytes are combined, with their first place and number, before they are dealt out, so what a third of all
+   documents share arrives once. A route with too many bytes is dealt out anchor by anchor, and an anchor with very many
+   different passages window by window; the outcome is the same.
+3. Index. Over a batch of pieces: suffix array, Burrows-Wheeler transform kept as its runs, text positions sampled at both
+   ends of every run. Pieces are streamed through it from right to left; the matching statistics give for each position the
    longest match and its row, and rows of one block (neighbours with L bytes in common) hold the same window. The first place
    in a block stays, every other window of it is marked.
 4. Marks are gathered for each document, and the remaining bytes put together.
@@ -24,16 +26,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.llm.setsketch import mix, text_slices
-from siftlog.session import written
+from siftlog.llm.chunks import release, text_slices
+from siftlog.llm.setsketch import mix
+from siftlog.session import dropped, written
 
 L, K = 100, 32
 _MUL = np.uint64(0x9FB21C651E98DF25)
 _INV = np.uint64(pow(int(_MUL), -1, 1 << 64))
-#: Bytes of passages that one index is built over.
-BATCH = 4 << 20
+#: Bytes of pieces that one index is built over, but for a route with more; sized for a core's cache.
+BATCH = 1 << 19
+#: Passages of a piece at most: pieces are streamed side by side, so a long one would hold up the rest.
+MOST = 16
+#: Bytes of passages of one route beyond which it is dealt out anchor by anchor.
+CROWD = 1 << 20
 #: Different passages of one anchor beyond which they are dealt out by single windows.
-HOT = 20_000
+HOT = 4_000
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -116,28 +123,36 @@ class RunIndex:
         rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
         tied = np.repeat(np.diff(np.append(starts, n)) > 1, np.diff(np.append(starts, n)))
         todo, depth = order[tied], 7
+        bits = int(n + len(self.sizes)).bit_length()
+        step = 3 if 3 * bits <= 63 else 2  # ranks that fit into one sorting key
         self.depth, self.same = 0, None
         while True:
-            if depth <= self.least < 2 * depth:
-                # Two windows are equal if both ends of length depth are: ranks at this depth name them.
+            if depth <= self.least:
+                # Windows are equal if stretches of length depth that cover them are: ranks at this depth name those.
                 self.depth, self.same = depth, rank.copy()
             if not len(todo):
                 break
-            ended = self.left[todo] < depth
-            second = np.where(ended, text[todo], len(self.sizes) + rank[np.minimum(todo + depth, n - 1)])
-            by = np.argsort((rank[todo] << 32) | second)
-            todo, second = todo[by], second[by]
+            second, left = [], self.left[todo]
+            for k in range(1, step):
+                # Where a text has ended its number decides, once; what follows that doesn't matter.
+                later = len(self.sizes) + rank[np.minimum(todo + k * depth, n - 1)]
+                second.append(np.where(left < k * depth, np.where(left < (k - 1) * depth, 0, text[todo]), later))
+            key = rank[todo]
+            for x in second:
+                key = key << bits | x
+            by = np.argsort(key)
+            todo, key = todo[by], key[by]
             group = rank[todo]
             at = np.arange(len(todo))
             head = np.ones(len(todo), bool)
             head[1:] = group[1:] != group[:-1]
-            sub = head.copy()
-            sub[1:] |= second[1:] != second[:-1]
-            place = at - np.maximum.accumulate(np.where(head, at, 0))
-            order[group + place] = todo
-            rank[todo] = group + np.maximum.accumulate(np.where(sub, at, 0)) - np.maximum.accumulate(np.where(head, at, 0))
+            sub = np.ones(len(todo), bool)
+            sub[1:] = key[1:] != key[:-1]
+            base = np.maximum.accumulate(np.where(head, at, 0))
+            order[group + at - base] = todo
+            rank[todo] = group + np.maximum.accumulate(np.where(sub, at, 0)) - base
             alone = sub & np.append(sub[1:], True)
-            todo, depth = todo[~alone], 2 * depth
+            todo, depth = todo[~alone], step * depth
         return order
 
     def _runs(self, suffixes: np.ndarray) -> None:
@@ -160,17 +175,17 @@ class RunIndex:
         self.size = size
         # Blocks: neighbours that agree in the first `least` symbols.
         block = np.ones(self.n, bool)
-        if self.same is not None:
-            long_ = self.left[suffixes] >= self.least
-            a, shift = suffixes, self.least - self.depth
-            tail = np.minimum(a + shift, self.n - 1)
-            block[1:] = ~(long_[1:] & long_[:-1] & (self.same[a[1:]] == self.same[a[:-1]]) & (self.same[tail[1:]] == self.same[tail[:-1]]))
-        self.block = np.flatnonzero(block)
+        long_ = self.left[suffixes] >= self.least
+        equal = long_[1:] & long_[:-1]
+        for shift in sorted({*range(0, self.least - self.depth, self.depth), self.least - self.depth}):
+            name = self.same[np.minimum(suffixes + shift, self.n - 1)]
+            equal &= name[1:] == name[:-1]
+        block[1:] = ~equal
+        # Directories from rows to runs and blocks, in place of a binary search for each step.
+        self.run_of = np.repeat(np.arange(len(self.run), dtype=np.int32), size)
+        self.block_of = np.cumsum(block, dtype=np.int32) - 1
         self.same = None
 
-    def block_of(self, rows: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.block, rows, "right") - 1
-
     def _common(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of suffixes x and y, up to limit."""
         out, live = np.zeros(len(x), np.int64), np.arange(len(x))
@@ -182,12 +197,12 @@ class RunIndex:
 
     def stream(self, symbols: np.ndarray, row: np.ndarray, place: np.ndarray, match: np.ndarray):
         """One step to the left for many patterns at a time: their next symbols (1 to 256), with the row of the match so far, its text position and its length."""
-        run = np.searchsorted(self.run, row, "right") - 1
+        run = self.run_of[row]
         bad = np.flatnonzero(self.symbol[run] != symbols)
         if len(bad):
             # Jump to the nearest run of the symbol above or below, whichever agrees with the match further.
             at = np.searchsorted(self.keys, symbols[bad] * len(self.run) + run[bad])
-            best, best_run, best_row, best_place = np.full(len(bad), -1), run[bad].copy(), row[bad].copy(), place[bad].copy()
+            best, best_run, best_row, best_place = np.full(len(bad), -1), run[bad].astype(np.int64), row[bad].copy(), place[bad].copy()
             for step, ends, top in ((-1, self.tail, False), (0, self.head, True)):
                 k = np.clip(at + step, 0, len(self.keys) - 1)
                 there = self.keys[k] % len(self.run)
@@ -227,12 +242,12 @@ def repeated_windows(texts: list[bytes], keys: np.ndarray, length: int = L):
     blocks, texts_, starts = [], [], []
     for live, at, row, match in index.statistics(texts, own=True):
         ok = match >= length
-        blocks.append(index.block_of(row[ok]))
+        blocks.append(index.block_of[row[ok]])
         texts_.append(live[ok])
         starts.append(at[ok])
     block, text, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (blocks, texts_, starts))
     place = keys[text] + start
-    least = np.full(len(index.block), np.iinfo(np.int64).max)
+    least = np.full(int(index.block_of[-1]) + 1 if index.n else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, block, place)
     marked = place > least[block]
     return text[marked], start[marked]
@@ -250,67 +265,92 @@ def runs_of(text: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _anchors(length: int, k: int, full: bool):
-    names = ["anchor", "ord", "sub", "at"] if full else ["anchor"]
+    names = ["anchor", "ord", "sub", "at"] if full else ["anchor", "ord"]
 
     def run(batches):
+        release()
         for b in batches:
             for i, _, data, offsets in text_slices(b.column(2)):
                 text, start, size, gram = passages(data, offsets, length, k)
-                columns = [pa.array(gram.view(np.int64))]
+                rows = pa.array(text + i)
+                columns = [pa.array(gram.view(np.int64)), b.column(0).take(rows)]
                 if full:
-                    rows = pa.array(text + i)
-                    columns += [b.column(0).take(rows), b.column(1).take(rows), pa.array(start << 8 | size)]
+                    columns += [b.column(1).take(rows), pa.array(start << 8 | size)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-_CUT = "anchor long, content_key binary, ord long, sub long, start long, size int, content binary"
+_CUT = "route long, whole boolean, content_key binary, ord long, sub long, start long, size int, content binary"
 
 
-def _cut(batches):
-    """Rows (ord, sub, text, array of (anchor, at)): one row for each passage; its bytes come with the first of equal ones that a batch holds."""
-    for b in batches:
-        rows, seen = [], set()
-        for ord_, sub, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            for x in found:
-                start, size = x["at"] >> 8, x["at"] & 255
-                content = text[start : start + size]
-                key = hashlib.blake2b(content, digest_size=16).digest()
-                rows.append((x["anchor"], key, ord_, sub, start, size, None if key in seen else content))
-                seen.add(key)
-            if len(rows) > 50_000:
-                yield _batch(rows)
-                rows, seen = [], set()
-        if rows:
-            yield _batch(rows)
+def _cut(length: int):
+    """Rows (ord, sub, text, places): a row for each piece; its bytes come with the first of equal ones that a batch holds.
+
+    A piece is a run of passages that touch and go to one route. It ends after an anchor whose hash says so, one in eight, so
+    equal stretches of text are cut alike wherever they stand, and after MOST passages.
+    """
 
+    def run(batches):
+        release()
+        for b in batches:
+            found = b.column(3)
+            flat = found.flatten()
+            anchor, route, at, crowded = (np.asarray(flat.field(i)) for i in range(4))
+            row = np.repeat(np.arange(len(found)), np.asarray(found.value_lengths()))
+            start, size = at >> 8, at & 255
+            order = np.lexsort((start, row))
+            row, start, size, anchor, route, crowded = (x[order] for x in (row, start, size, anchor, route, crowded))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + size[:-1] - length + 1) | crowded[1:] | crowded[:-1] | (route[1:] != route[:-1]) | ((anchor[:-1] >> 7) & 7 == 0)
+            place = np.arange(len(row))
+            new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % MOST == 0
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(row)) - 1
+            ends = start[tail] + size[tail]
+            routes = np.where(crowded[head], anchor[head], route[head])
+            ords, subs = (np.asarray(b.column(i)) for i in (0, 1))
+            for i in range(0, len(head), 20_000):
+                h = slice(i, i + 20_000)
+                rows, first, last = row[head[h]], start[head[h]], ends[h]
+                keys, contents, seen, text, known = [], [], set(), b"", -1
+                for r, x, y in zip(rows.tolist(), first.tolist(), last.tolist()):
+                    if r != known:
+                        text, known = b.column(2)[r].as_py(), r
+                    content = text[x:y]
+                    key = hashlib.blake2b(content, digest_size=16).digest()
+                    keys.append(key)
+                    contents.append(None if key in seen else content)
+                    seen.add(key)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(routes[h]), pa.array(~crowded[head[h]]), pa.array(keys, pa.binary()), pa.array(ords[rows]), pa.array(subs[rows]), pa.array(first), pa.array((last - first).astype(np.int32)), pa.array(contents, pa.binary())],
+                    names=["route", "whole", "content_key", "ord", "sub", "start", "size", "content"],
+                )
 
-def _batch(rows) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["anchor", "content_key", "ord", "sub", "start", "size", "content"])
+    return run
 
 
 def _index(length: int, batch_bytes: int):
-    """Rows (route, content, ord, sub, start), by route: marked bytes (ord, sub, from, to) of the passages' first places."""
+    """Rows (whole, route, content, ord, sub, start), by route: marked bytes (ord, sub, from, to) of the pieces' first places."""
     names = ["ord", "sub", "from", "to"]
 
     def work(rows):
-        _, document = np.unique(np.array([(r[2], r[3]) for r in rows], dtype=[("o", np.int64), ("s", np.int64)]), return_inverse=True)
-        start = np.array([r[4] for r in rows], np.int64)
-        text, at = repeated_windows([r[1] for r in rows], document.reshape(-1) << 32 | start, length)
+        _, document = np.unique(np.array([(r[3], r[4]) for r in rows], dtype=[("o", np.int64), ("s", np.int64)]), return_inverse=True)
+        start = np.array([r[5] for r in rows], np.int64)
+        text, at = repeated_windows([r[2] for r in rows], document.reshape(-1) << 32 | start, length)
         text, a, b = runs_of(text, at, length)
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][2] for i in text], pa.int64()), pa.array([rows[i][3] for i in text], pa.int64()), pa.array(start[text] + a), pa.array(start[text] + b)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][3] for i in text], pa.int64()), pa.array([rows[i][4] for i in text], pa.int64()), pa.array(start[text] + a), pa.array(start[text] + b)], names=names)
 
     def run(batches):
+        release()
         rows, size = [], 0
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                if size >= batch_bytes and r[0] != rows[-1][0]:
+                if size >= batch_bytes and r[:2] != rows[-1][:2]:
                     yield work(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[1])
+                size += len(r[2])
         if rows:
             yield work(rows)
 
@@ -338,7 +378,7 @@ def _finish(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
 
 
-def remove_repeats(docs: DataFrame, length: int = L, k: int = K, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = L, k: int = K, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH, crowd_bytes: int = CROWD, hot: int = HOT) -> DataFrame:
     """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
     Texts are UTF-8 bytes, null is empty; texts shorter than length lose nothing. Documents are in the order of their ids, null
@@ -350,37 +390,44 @@ def remove_repeats(docs: DataFrame, length: int = L, k: int = K, id_col: str = "
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     ids = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(ids, F.lit(-(1 << 63))).alias("ord"), F.xxhash64(data).alias("sub"), data.alias("data"), ids.alias("doc_id"))
+    if docs.groupBy(ids).count().where("count > 1").isEmpty():
+        rows = rows.withColumn("sub", F.lit(0).cast("long"))  # ids alone tell rows apart
     texts = rows.select("ord", "sub", "data")
-    known = texts.mapInArrow(_anchors(length, k, False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("twice"))
+    known = texts.mapInArrow(_anchors(length, k, False), "anchor long, ord long").groupBy("anchor").agg(F.count("*").alias("n"), F.min("ord").alias("route")).where("n > 1").select(F.col("anchor").alias("twice"), "route")
     places = texts.mapInArrow(_anchors(length, k, True), "anchor long, ord long, sub long, at long")
-    places = places.join(known.hint("shuffle_hash"), F.col("anchor") == F.col("twice"), "left_semi")
-    of_text = places.groupBy("ord", "sub").agg(F.collect_set(F.struct("anchor", "at")).alias("found"))  # at most one for each byte of a text
-    of_text = of_text.select(F.col("ord").alias("o"), F.col("sub").alias("s"), "found")
-    cut = texts.join(of_text, (F.col("ord") == F.col("o")) & (F.col("sub") == F.col("s"))).select("ord", "sub", "data", "found").mapInArrow(_cut, _CUT)
-    cut = written(cut, "rindex-passages")
+    held = places = written(places.join(known.hint("shuffle_hash"), F.col("anchor") == F.col("twice")).select("anchor", "route", "ord", "sub", "at"), "rindex-places", large=True)
+    load = places.groupBy("route").agg(F.sum(F.col("at").bitwiseAND(F.lit(255))).alias("bytes")).where(F.col("bytes") > crowd_bytes).select(F.col("route").alias("r"))
+    places = places.join(load, F.col("route") == F.col("r"), "left").select("ord", "sub", F.struct("anchor", "route", "at", F.col("r").isNotNull().alias("crowded")).alias("x"))
+    of_text = places.groupBy(F.col("ord").alias("o"), F.col("sub").alias("s")).agg(F.collect_set("x").alias("found"))  # less than one for each byte of a text
+    cut = texts.join(of_text, (F.col("ord") == F.col("o")) & (F.col("sub") == F.col("s"))).select("ord", "sub", "data", "found")
+    cut = written(cut.mapInArrow(_cut(length), _CUT), "rindex-pieces", large=True)
+    dropped(held)
 
     place = F.struct("ord", "sub", "start")
-    strings = written(cut.groupBy("anchor", "content_key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("content").alias("content")), "rindex-strings")
-    crowded = strings.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("anchor").alias("c"))
-    plain = strings.join(crowded, F.col("anchor") == F.col("c"), "left_anti").select(F.col("anchor").alias("route"), "content", "first.ord", "first.sub", "first.start")
+    strings = written(cut.groupBy("whole", "route", "content_key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("content").alias("content")), "rindex-strings", large=True)
+    # An anchor of a crowded route with very many different passages.
+    full = strings.where("not whole").groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("route").alias("c"), F.lit(False).alias("c_whole"))
+    on = (F.col("route") == F.col("c")) & (F.col("whole") == F.col("c_whole"))
+    plain = strings.join(full, on, "left_anti").select("whole", "route", "content", "first.ord", "first.sub", "first.start")
     j = F.explode(F.sequence(F.lit(0), F.length("content") - length))
-    windows = strings.join(crowded, F.col("anchor") == F.col("c"), "left_semi").select("content", "first", j.alias("j"))
-    windows = windows.select(F.expr(f"substring(content, j + 1, {length})").alias("content"), F.struct("first.ord", "first.sub", (F.col("first.start") + F.col("j")).alias("start")).alias("first"))
-    windows = windows.select("content", "first.ord", "first.sub", "first.start")
-    routed = plain.repartition("route").sortWithinPartitions("route").mapInArrow(_index(length, batch_bytes), "ord long, sub long, from long, to long")
-    single = _single_windows(windows, length)
-    # A passage that isn't the first of its bytes repeats whole.
-    firsts = strings.where("n > 1").select(F.col("anchor").alias("a"), F.col("content_key").alias("ck"), "first")
-    later = cut.join(firsts, (F.col("anchor") == F.col("a")) & (F.col("content_key") == F.col("ck"))).where(place != F.col("first"))
+    windows = strings.join(full, on, "left_semi").select("content", "first", j.alias("j"))
+    windows = windows.select(F.expr(f"substring(content, j + 1, {length})").alias("content"), "first.ord", "first.sub", (F.col("first.start") + F.col("j")).alias("start"))
+    routed = plain.repartition("whole", "route").sortWithinPartitions("whole", "route").mapInArrow(_index(length, batch_bytes), "ord long, sub long, from long, to long")
+    single = _single_windows(windows)
+    # A piece that isn't the first of its bytes repeats whole.
+    firsts = strings.where("n > 1").select(F.col("whole").alias("w"), F.col("route").alias("a"), F.col("content_key").alias("ck"), "first")
+    later = cut.join(firsts, (F.col("whole") == F.col("w")) & (F.col("route") == F.col("a")) & (F.col("content_key") == F.col("ck"))).where(place != F.col("first"))
     later = later.select("ord", "sub", F.col("start").alias("from"), (F.col("start") + F.col("size")).alias("to"))
-    marks = written(routed.unionByName(single).unionByName(later), "rindex-marks")
+    single = single.select("ord", "sub", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
+    marks = written(routed.unionByName(single).unionByName(later), "rindex-marks", large=True)
+    dropped(cut, strings)
     spans = marks.groupBy(F.col("ord").alias("o"), F.col("sub").alias("s")).agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     joined = rows.join(spans, (F.col("ord") == F.col("o")) & (F.col("sub") == F.col("s")), "left").select("doc_id", "data", "spans")
     return joined.mapInArrow(_finish, "row long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("row", "doc_id")
 
 
-def _single_windows(windows: DataFrame, length: int) -> DataFrame:
-    """The same marks for windows that stand alone: a window's first place is a minimum, all others are marked."""
+def _single_windows(windows: DataFrame) -> DataFrame:
+    """Of windows that are dealt out one by one all but the first of equal ones."""
     place = F.struct("ord", "sub", "start")
     first = windows.groupBy(F.col("content").alias("c")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return windows.join(first, F.col("content") == F.col("c")).where(place != F.col("first")).select("ord", "sub", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
+    return windows.join(first, F.col("content") == F.col("c")).where(place != F.col("first")).select("ord", "sub", "start")

@@ -50,8 +50,11 @@ MASK = "(?=[0-9A-Fa-f:/+\\-\\[bJFMASOND])(?:" + "|".join(MASK_CLASSES.values())
 MASK_HINT = r"[0-9]|[A-Fa-f]{6}|::|(?:[A-Fa-f]{1,4}:){7}"
 MASKED = "<*>"
 
-RUN = r"(?:[A-Za-z0-9]|[^\x00-\x7F])+"
-COMPOUND = rf"{RUN}(?:[-_.:]+{RUN})+"
+#: A letter or digit of ASCII, or anything beyond it. A run starts where no such character stands before it: else a run
+#: without a joiner behind it would be tried again from each of its characters.
+CHAR = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
+RUN = f"{CHAR}++"
+COMPOUND = rf"(?<!{CHAR}){CHAR}++(?:[-_.:]++{CHAR}++)++"
 
 # Identifier tokens: the whole token has to match.
 IDENTIFIER = "|".join(

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlog.functions.once import computed
 from siftlog.functions.text import lexical_terms
 
 # Fixed values.
@@ -27,13 +28,20 @@ class Statistics:
 
 def with_terms(lines: DataFrame) -> DataFrame:
     """lines with terms and dl, their number; skipped lines have none."""
-    return lines.withColumn("terms", F.coalesce(lexical_terms(F.col("text")), F.array().cast("array<string>"))).withColumn("dl", F.size("terms"))
+    return computed(lines, terms=F.coalesce(lexical_terms(F.col("text")), F.array().cast("array<string>"))).withColumn("dl", F.size("terms"))
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """term, source_index, line_number, tf, dl: one row for each distinct term of a line. No shuffle: a line's terms are counted within its row."""
-    each = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
-    return lines.select(*KEY, "dl", F.explode(each).alias("p")).select(F.col("p.term").alias("term"), *KEY, F.col("p.tf").alias("tf"), "dl")
+    """term, source_index, line_number, tf, dl: one row for each distinct term of a line.
+
+    No shuffle: a line's terms are sorted within its row, and the distance from one run's start to the next is its tf.
+    """
+    rows = computed(lines.select(*KEY, "dl", "terms"), sorted=F.array_sort("terms"))
+    first = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)))
+    rows = computed(rows.where("dl > 0"), first=first)
+    place = rows.select(*KEY, "dl", "sorted", "first", F.posexplode("first").alias("k", "at"))
+    after = F.coalesce(F.get("first", F.col("k") + 1), F.col("dl") + 1)
+    return place.select(F.get("sorted", F.col("at") - 1).alias("term"), *KEY, (after - F.col("at")).alias("tf"), "dl")
 
 
 def statistics(lines: DataFrame, terms: tuple[str, ...], count_skipped: bool = False) -> Statistics:
@@ -81,6 +89,11 @@ def coverage(terms: Column, query: tuple[str, ...]) -> Column:
     return hits.cast("double") / F.lit(float(len(query)))
 
 
+def scored(lines: DataFrame, stats: Statistics) -> DataFrame:
+    """lines (terms, dl) with bm25 and coverage, worked out once for all that filters and sorts by them."""
+    return computed(lines, bm25=score(F.col("terms"), F.col("dl"), stats), coverage=coverage(F.col("terms"), tuple(stats.df)))
+
+
 def score_postings(posted: DataFrame, stats: Statistics) -> DataFrame:
     """source_index, line_number, bm25, coverage of the lines that hold a query term, from the inverted postings.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlog.functions.once import computed
 from siftlog.functions.text import mask_template
 
 ORDINAL = ("source_index", "line_number")
@@ -12,7 +13,7 @@ ORDINAL = ("source_index", "line_number")
 
 def with_template(lines: DataFrame) -> DataFrame:
     """lines with mask_key and distinct_id, a hash of it; both null for skipped lines."""
-    out = lines.withColumn("mask_key", mask_template(F.col("text")))
+    out = computed(lines, mask_key=mask_template(F.col("text")))
     return out.withColumn("distinct_id", F.when(F.col("mask_key").isNotNull(), F.xxhash64("mask_key")))
 
 

@@ -83,11 +83,11 @@ def prepare(records: DataFrame) -> DataFrame:
     return bm25.with_terms(dedup.with_template(records))
 
 
-def write(records: DataFrame, embedder: Embedder, path: str, sources: list[tuple[int, str, int, int, bool]] = (), keep_text: bool = True) -> Index:
+def write(records: DataFrame, embedder: Embedder, path: str, sources: list[tuple[int, str, int, int, bool]] = (), keep_text: bool = True, by_term: bool = True) -> Index:
     """Write all tables below path. The lines are worked out once; templates, postings and totals are read from what was written.
 
-    Templates are embedded, not lines. Lines are ordered by place within a file, postings by term, so that a query's terms
-    prune row groups. Skipped records stay as lines without a template.
+    Templates are embedded, not lines. Postings are ordered by term, so that a query's terms prune row groups, unless by_term
+    is false, as for an index that is searched once. Skipped records stay as lines without a template.
     """
     spark = records.sparkSession
     prepare(records).select("source_index", "source", "line_number", "array_element", "distinct_id", "mask_key", "text" if keep_text else F.lit(None).cast("string").alias("text"), "terms", "dl", "skip_reason", "truncated").write.parquet(f"{path}/lines")
@@ -96,7 +96,10 @@ def write(records: DataFrame, embedder: Embedder, path: str, sources: list[tuple
     templates = spark.read.parquet(f"{path}/templates")
     dedup.check_ids(templates)
     embedder.vectors(templates.select("distinct_id", "text")).write.parquet(f"{path}/vectors")
-    bm25.postings(lines).repartitionByRange("term", "source_index").sortWithinPartitions("term", "source_index", "line_number").write.parquet(f"{path}/postings")
+    posted = bm25.postings(lines)
+    if by_term:
+        posted = posted.repartitionByRange("term", "source_index").sortWithinPartitions("term", "source_index", "line_number")
+    posted.write.parquet(f"{path}/postings")
     kept = F.col("skip_reason").isNull()
     totals = lines.agg(F.count("*").alias("lines"), F.count_if(kept).alias("kept"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
     totals.write.parquet(f"{path}/stats")
@@ -141,4 +144,4 @@ def _paths(spark: SparkSession, *paths: str):
 
 def temporary(records: DataFrame, embedder: Embedder) -> Index:
     """An index for one search, in the shared folder."""
-    return write(records, embedder, new_path(records.sparkSession, "grep"))
+    return write(records, embedder, new_path(records.sparkSession, "grep"), by_term=False)

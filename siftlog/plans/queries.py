@@ -12,7 +12,7 @@ from siftlog.functions.query import Query
 from siftlog.operators import bm25, dedup, fusion, metrics, ranking
 from siftlog.plans.index import temporary
 from siftlog.plans.search import hybrid_scores, search
-from siftlog.sources.scan import json_field, lines_of
+from siftlog.sources.scan import json_field, lines_of, spread
 
 NATURAL, PHRASE = "the rest of the nation and others", "under the"
 QUERIES: dict = {}
@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def document_lines(spark, sf_dir) -> DataFrame:
@@ -228,8 +228,7 @@ def a4_bm25_all(spark, sf_dir):
     """By column arithmetic: one pass for the statistics, one for the scores, no shuffle of lines."""
     lines = bm25.with_terms(document_lines(spark, sf_dir).where("skip_reason is null"))
     stats = bm25.statistics(lines, _Q.terms)
-    scored = lines.select("source_index", "line_number", F.round(bm25.score(F.col("terms"), F.col("dl"), stats), 9).alias("bm25"), bm25.coverage(F.col("terms"), _Q.terms).alias("coverage"))
-    return scored.where("bm25 > 0")
+    return bm25.scored(lines, stats).where("bm25 > 0").select("source_index", "line_number", F.round("bm25", 9).alias("bm25"), "coverage")
 
 
 @query(SQL["a4_bm25_all"])
@@ -246,7 +245,7 @@ def j3_bm25_postings(spark, sf_dir):
 def w3_bm25_topk(spark, sf_dir):
     lines = bm25.with_terms(document_lines(spark, sf_dir).where("skip_reason is null"))
     stats = bm25.statistics(lines, _Q.terms)
-    rows = lines.withColumn("score", bm25.score(F.col("terms"), F.col("dl"), stats).cast("float")).where("score > 0")
+    rows = bm25.scored(lines, stats).withColumn("score", F.col("bm25").cast("float")).where("score > 0")
     by = ranking.rank_before()
     return ranking.ranked(ranking.top_k(rows, 5, by), by).select(F.col("rank").cast("long").alias("rank"), "source_index", "line_number", "score", "text")
 
@@ -259,7 +258,7 @@ def r3_lexical_mode(spark, sf_dir):
     """Lines that hold the query as it is come first."""
     lines = bm25.with_terms(document_lines(spark, sf_dir).where("skip_reason is null"))
     stats = bm25.statistics(lines, _P.terms)
-    rows = lines.withColumn("score", bm25.score(F.col("terms"), F.col("dl"), stats).cast("float")).where("score > 0").withColumn("substring", T.contains_exact(F.col("text"), _P.stripped))
+    rows = bm25.scored(lines, stats).withColumn("score", F.col("bm25").cast("float")).where("score > 0").withColumn("substring", T.contains_exact(F.col("text"), _P.stripped))
     by = ranking.rank_before(substring="substring")
     return ranking.ranked(ranking.top_k(rows, 20, by), by).select(F.col("rank").cast("long").alias("rank"), "source_index", "line_number", "substring", "score")
 

@@ -151,6 +151,16 @@ def _finished(rows: DataFrame) -> DataFrame:
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt out to all cores where its files give fewer tasks than that: a Parquet file of one row group is one task.
+
+    A table that is large for its cluster has more splits than cores, and is left as it is. Only for scans: counting the
+    partitions of a plan with a shuffle would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def lines_of(df: DataFrame, index: Column, text: Column, source: Column | None = None) -> DataFrame:
     """Lines of a text column: one record for each line of each row, numbered from 1. Null text has none."""
     name = index.cast("string") if source is None else source

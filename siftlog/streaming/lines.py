@@ -22,8 +22,7 @@ def templates_by_window(lines: DataFrame, time: str, window: str = "10 minutes",
 
 def scored(lines: DataFrame, stats: Statistics) -> DataFrame:
     """lines with bm25 and coverage against a frozen index's statistics."""
-    rows = bm25.with_terms(lines)
-    return rows.withColumn("bm25", bm25.score(F.col("terms"), F.col("dl"), stats)).withColumn("coverage", bm25.coverage(F.col("terms"), tuple(stats.df)))
+    return bm25.scored(bm25.with_terms(lines), stats)
 
 
 def dense(lines: DataFrame, vector: Column, query: list[float]) -> DataFrame:

@@ -16,9 +16,14 @@ _shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of a batch between the JVM and Python: ten thousand long texts, the default by rows, take both sides' memory.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that Python workers can import it anywhere."""
+    """Send this package to the executors, once for each application, so that Python workers can import it anywhere; bound the batches that they get."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))

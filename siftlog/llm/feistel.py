@@ -21,11 +21,26 @@ FIRST_DAY, DAYS = "1900-01-01", 73049  # to the end of 2099; 73049 = 17 * 4297
 # Candidates, longest forms first; no letter, digit or joining character may touch them.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Characters of an IBAN by country: the registry's and those in partial use. A match ends there, so that a word behind it isn't taken in.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(size: int, countries: str) -> str:
+    fours, more = divmod(size - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{more}}}" if more else "")
+
+
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join(_iban_of(*x) for x in IBAN_SIZES.items())})(?![A-Za-z0-9])"
 DATE = r"(?<![\w.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w\-/]|\.\d)"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 IPV4 = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
-_FOURS = "|".join((r"(?:\d{4} ){3}\d{4}", r"(?:\d{4}-){3}\d{4}", r"\d{4} \d{6} \d{5}", r"\d{4}-\d{6}-\d{5}", r"\d{13,19}"))
+# 19 digits before 16; the last three of them may also begin a phone number.
+_TAIL = r"(?![2-9]\d{2}[ .\-][2-9]\d{2}[ .\-]\d{4}(?![\w\-]|\.\d))\d{3}"
+_FOURS = "|".join((rf"(?:\d{{4}} ){{4}}{_TAIL}", r"(?:\d{4}-){4}\d{3}", r"(?:\d{4} ){3}\d{4}", r"(?:\d{4}-){3}\d{4}", r"\d{4} \d{6} \d{4,5}", r"\d{4}-\d{6}-\d{4,5}", r"\d{13,19}"))
 CARD = rf"(?<![\w+\-.])(?:{_FOURS})(?![\w\-]|\.\d)"
 PHONE = r"(?<![\w+.\-])(?:\+1[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?![\w\-]|\.\d)"
 PATTERN = "|".join((MAIL, IBAN, DATE, SSN, IPV4, CARD, PHONE))
@@ -178,6 +193,12 @@ def _kind(m: Column) -> Column:
     )
 
 
+def _value(m: Column) -> Column:
+    """struct(value, rest) of a match: four fours and a three whose 19 digits don't validate are a card of 16 and a number behind it."""
+    short = F.when(m.rlike(r"^(?:\d{4}[ \-]){4}\d{3}$"), _luhn(_digits(m)) != 0).otherwise(F.lit(False))
+    return F.struct(F.when(short, F.substring(m, 1, 19)).otherwise(m).alias("value"), F.when(short, F.substring(m, 20, 4)).otherwise(F.lit("")).alias("rest"))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one candidate, or null where it doesn't validate."""
     kind, out = _kind(m), F.lit(None).cast("string")
@@ -194,11 +215,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     text = F.col(text_col).cast("string")
     some = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    found = F.transform(matches, lambda m: F.struct(_kind(m).alias("kind"), m.alias("value"), pseudonym(m, key).alias("pseudonym")))
-    none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
+    matches = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), _value)
+    found = F.transform(matches, lambda m: F.struct(_kind(m["value"]).alias("kind"), m["value"].alias("value"), pseudonym(m["value"], key).alias("pseudonym"), m["rest"].alias("rest")))
+    none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string,rest:string>>")
     out = docs.withColumn("__all", F.when(some, found).otherwise(none))
     around = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(around, F.transform(F.col("__all"), lambda x: F.coalesce(x["pseudonym"], x["value"])), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(around, F.transform(F.col("__all"), lambda x: F.concat(F.coalesce(x["pseudonym"], x["value"]), x["rest"])), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     out = out.withColumn(text_col, F.when(F.size("__all") > 0, joined).otherwise(text))
-    return out.withColumn("found", F.filter("__all", lambda x: x["pseudonym"].isNotNull())).drop("__all")
+    kept = F.filter("__all", lambda x: x["pseudonym"].isNotNull())
+    return out.withColumn("found", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["pseudonym"].alias("pseudonym")))).drop("__all")

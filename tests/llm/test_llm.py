@@ -633,6 +633,18 @@ def test_cards_beside_other_digits(spark):
     assert [f.value for f in feistel.pseudonymize(rows, "k").first().found] == ["4111111111111111", "4111 1111 1111 1111"]
 
 
+def test_values_beside_capitals_and_digits(spark):
+    ibans = ["ES9121000418450200051332", "AT611904300234573201", "BE68539007547034", "ES91 2100 0418 4502 0005 1332", "NO9386011117947", "FR1420041010050500013M02606"]
+    cards = ["3056 930902 5904", "3056-930902-5904", "4111 1111 1111 1111 110", "4111-1111-1111-1111-110", "4111 1111 1111 1111"]
+    words = ["EUR", "2024", "OK", "24 May", "A1", "7", "123"]
+    rows = spark.createDataFrame([(f"to {v} {w} and", v, w) for v in ibans + cards for w in words if (v, w) != (cards[-1], "110")], "text string, v string, w string")
+    for r in feistel.pseudonymize(rows, "k").collect():
+        assert [(f.kind, f.value) for f in r.found] == [("iban" if r.v in ibans else "card", r.v)], r
+        assert r.v not in r.text and r.text == f"to {r.found[0].pseudonym} {r.w} and"
+    r = feistel.pseudonymize(spark.createDataFrame([("4111 1111 1111 1111 212 555 0100",)], "text string"), "k").first()
+    assert [(f.kind, f.value) for f in r.found] == [("card", "4111 1111 1111 1111"), ("phone", "212 555 0100")]
+
+
 def test_permutations_do_not_collide(spark):
     for name, f, values in (("ssn", feistel.ssn, [f"{a:03d}-{g:02d}-0001" for a in range(1, 900) if a != 666 for g in (1, 50, 99)]), ("date", feistel.date, [str(np.datetime64("1900-01-01") + i) for i in range(0, 73049, 11)])):
         rows = spark.createDataFrame([(v,) for v in values], "v string").select(f("k", F.col("v")).alias("p")).collect()

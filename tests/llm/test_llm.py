@@ -8,7 +8,7 @@ import random
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +152,51 @@ def test_recordings_align(spark):
     assert got[5].n_items == got[6].n_items == 0 and got[4].links == 0
 
 
+def brute_classes(prints, most_error=0.25, least_votes=2, least_overlap=0.5):
+    """Least id that each recording reaches, by all pairs at all offsets."""
+    marks = {k: chroma.landmarks(x) for k, x in prints.items()}
+    root = {k: k for k in prints}
+    for a in sorted(prints):
+        for b in sorted(prints):
+            x, y = prints[a], prints[b]
+            votes = Counter(int(p) - int(q) for p in marks[a] for q in marks[b] if x[p] == y[q])
+            checked = [chroma.bit_error(x, y, o) for o, v in votes.items() if v >= least_votes]
+            if a < b and len(x) and (np.array_equal(x, y) or any(e <= most_error and n >= least_overlap * min(len(x), len(y)) for e, n in checked)):
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if r == hi else r for k, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_pairs_behind_lesser_recordings_align(spark, monkeypatch, few):
+    monkeypatch.setattr(chroma, "FEW", few, raising=False)
+    monkeypatch.setattr(chroma, "BLOCK", 3, raising=False)
+    rng = np.random.default_rng(11)
+    fresh = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    pair = fresh(80)
+    near = pair.copy()
+    near[::20] ^= 1
+    marks = chroma.landmarks(pair)
+    prints = {100: pair, 101: near, 102: fresh(60), 103: pair[7:], 104: np.concatenate([pair[:30], fresh(90)])}
+    for i, p in enumerate(marks):  # each landmark of the pair also stands, alone, in a lesser recording
+        x = fresh(40)
+        x[20] = pair[p]
+        for q in range(16, 25):
+            while q != 20 and chroma.mix(x[q : q + 1].astype(np.uint64)) <= chroma.mix(x[20:21].astype(np.uint64)):
+                x[q] = fresh(1)[0]
+        prints[i] = x
+    rows = [(k, k, x.astype("<u4").tobytes(), len(x)) for k, x in prints.items()]
+    found = spark.createDataFrame(rows, "ord long, sub long, items binary, n_items long")
+    links = chroma.align(found).collect()
+    root = {k: k for k in prints}
+    for r in links:
+        assert r.c_ord < r.ord and r.bit_error <= 0.25
+        lo, hi = sorted((root[r.ord], root[r.c_ord]))
+        root = {k: lo if x == hi else x for k, x in root.items()}
+    assert root == brute_classes(prints) and root[101] == root[103] == 100
+    assert {(r.ord, r.c_ord): r.offset for r in links}[103, 100] == -7
+
+
 # 2. Mixing.
 def test_mixing_equals_sql(spark, duck, docs):
     same_rows(queries.op2_mixing(spark, SF), duck.sql(queries.SQL["op2_mixing"]))

@@ -197,6 +197,20 @@ def test_pairs_behind_lesser_recordings_align(spark, monkeypatch, few):
     assert {(r.ord, r.c_ord): r.offset for r in links}[103, 100] == -7
 
 
+def test_thresholds_are_quartiles_of_all_recordings(spark):
+    rng = np.random.default_rng(5)
+    s = chroma.Settings(frame=512, hop=64, low=300.0)
+    x = [rng.integers(0, 256, 2000, dtype=np.uint8).tobytes() for _ in range(40)]
+    x += [blob(tune([n % 24], seconds=0.2)) for n in range(40)] + [x[0]] * 300  # copies stand together in any order by content
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(x)], "ord long, blob binary").withColumn("sub", F.xxhash64("blob"))
+    all_ = np.concatenate([chroma.responses(chroma.chroma(chroma.samples(b), s)) for b in x])
+    for parts in (1, 7):
+        cuts = chroma.thresholds(rows.repartition(parts), s)
+        for k, q in itertools.product(range(16), range(3)):
+            below = (all_[:, k] < cuts[k, q]).mean(), (all_[:, k] < cuts[k, q] - 0.0011).mean()
+            assert below[0] >= (q + 1) / 4 - 1e-9 >= below[1] - 1e-9, (k, q)
+
+
 # 2. Mixing.
 def test_mixing_equals_sql(spark, duck, docs):
     same_rows(queries.op2_mixing(spark, SF), duck.sql(queries.SQL["op2_mixing"]))

@@ -31,7 +31,7 @@ def op1_chroma(spark, sf_dir):
 
     Frames are short, since texts make recordings of a second or less; the operator's defaults are for music.
     """
-    settings = chroma.Settings(rate=11025, frame=512, hop=64, low=300.0, high=3520.0)
+    settings = chroma.Settings(rate=11025, frame=256, hop=32, low=300.0, high=3520.0)
     return chroma.recordings(documents(spark, sf_dir), F.col("text").cast("binary"), settings)
 
 

@@ -211,6 +211,23 @@ def test_thresholds_are_quartiles_of_all_recordings(spark):
             assert below[0] >= (q + 1) / 4 - 1e-9 >= below[1] - 1e-9, (k, q)
 
 
+def test_short_recordings_align(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n))
+    rows = [(10 * k, text(n)) for k, n in enumerate((60, 150, 400, 700, 760, 900, 1200))]
+    rows += [(i + 1, t) for i, t in rows] + [(i + 2, t[:-5] + "zzzzz") for i, t in rows if len(t) == 1200] + [(98, ""), (99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in chroma.recordings(df, F.col("text").cast("binary"), chroma.Settings(frame=256, hop=32, low=300.0)).collect()}
+    for i, t in rows[:7]:
+        assert got[i].n_items >= min(8, -(-len(t) // 32)) and got[i].class_id == i and got[i + 1].class_id == i and got[i + 1].links == 1 and got[i + 1].bit_error == 0.0
+        assert i + 2 not in got or got[i + 2].class_id == i, i
+    assert got[98].n_items == got[99].n_items == 0 and got[98].class_id == 98
+
+
+def test_documents_have_fingerprints(spark, docs):
+    assert queries.op1_chroma(spark, SF).where("n_items = 0").count() == docs.where("coalesce(text, '') = ''").count()
+
+
 # 2. Mixing.
 def test_mixing_equals_sql(spark, duck, docs):
     same_rows(queries.op2_mixing(spark, SF), duck.sql(queries.SQL["op2_mixing"]))

@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -264,37 +263,21 @@ class Bpe:
         return " ".join([x for x in map(self.text.get, ids) if x is not None])
 
 
-@lru_cache(maxsize=1)
-def load(path: str) -> Bpe:
-    return Bpe(path)
+def worker_cache(path: str) -> tuple[Bpe, ByteChunks]:
+    """The vocabulary and the ids of the chunks of texts; a Python worker keeps them from task to task."""
 
+    def make():
+        bpe = Bpe(path)
+        return bpe, ByteChunks(bpe.encode_chunks, "<u4")
 
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each whole text, for callers on one machine."""
-    return [np.frombuffer(b"".join(x for x, _ in parts), "<u4") for parts in worker_cache(path).values(texts)]
-
-
-def worker_cache(path: str) -> ByteChunks:
-    """The ids of the chunks of texts; a Python worker keeps them from task to task."""
-    return held(("bpe", path), lambda: ByteChunks(load(path).encode_chunks, "<u4"))
-
-
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each whole text, for callers on one machine."""
-    return [np.frombuffer(b"".join(x for x, _ in parts), "<u4") for parts in worker_cache(path).values(texts)]
-
-
-@lru_cache(maxsize=2)
-def worker_cache(path: str) -> ByteChunks:
-    """The ids of the chunks of texts; a Python worker keeps them from task to task."""
-    return ByteChunks(load(path).encode_chunks, "<u4")
+    return held(("bpe", path), make)
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each whole text, for callers on one machine."""
     out = []
     for _, _, data, offsets in text_slices(pa.array(texts, pa.string())):
-        ids, at = worker_cache(path).rows(data, offsets)
+        ids, at = worker_cache(path)[1].rows(data, offsets)
         out += [ids[x:y] for x, y in zip(at.tolist(), at[1:].tolist())]
     return out
 
@@ -311,7 +294,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """
 
     def run(batches):
-        bpe, cache = load(tokenizer), worker_cache(tokenizer)
+        bpe, cache = worker_cache(tokenizer)
         for b in batches:
             for i, j, data, offsets in text_slices(b.column(1)):
                 ids, at = cache.rows(data, offsets)
@@ -326,7 +309,7 @@ def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     """Training rows: doc_id, source, n_tokens, ids (array of int). Null text gives no ids; rows that repeat stay repeated."""
 
     def run(batches):
-        cache = worker_cache(tokenizer)
+        cache = worker_cache(tokenizer)[1]
         for b in batches:
             for i, j, data, offsets in text_slices(b.column(2)):
                 ids, at = cache.rows(data, offsets)
@@ -344,7 +327,7 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode_documents() gives, without moving ids and texts out of the workers."""
 
     def run(batches):
-        bpe, cache = load(tokenizer), worker_cache(tokenizer)
+        bpe, cache = worker_cache(tokenizer)
         for b in batches:
             for i, j, data, offsets in text_slices(b.column(1)):
                 ids, at = cache.rows(data, offsets)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,11 +35,19 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-class ChunkCache:
-    """values(texts) gives for each text the list of its chunks' values; make(list of new chunks) works them out.
+def fresh(columns, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to differ from all columns, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
-    Operators keep one for each Python worker, from task to task.
-    """
+
+class ChunkCache:
+    """A dictionary of chunks' values that make(list of new chunks) works out. Operators keep one for each Python worker, from task to task."""
 
     def __init__(self, make: Callable[[list[str]], list], size: int = CACHE):
         self.make, self.size, self.known = make, size, {}
@@ -52,27 +61,6 @@ class ChunkCache:
             self.known.update(zip(todo, self.make(todo)))
         return self.known
 
-    def values(self, texts: list[str]) -> list[list]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted: set[str] = set()
-        for chunks in cut:
-            wanted.update(chunks)
-        wanted.discard("")
-        get = self.lookup(wanted)
-        return [[get[c] for c in chunks if c] for chunks in cut]
-
-
-def slices(texts: list[str], limit: int = 1 << 20):
-    """Runs of consecutive texts of about limit characters, so that what is held at a time doesn't follow the batch size."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
 
 def text_slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end, bytes, offsets) over runs of rows of about limit bytes of a text column without nulls."""
@@ -87,97 +75,144 @@ def text_slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, i
         at = end
 
 
-_rng = np.random.Generator(np.random.PCG64(4931))
-_CODE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
-_CUT = np.zeros(256, bool)
-_CUT[[10, 32]] = True
-_CODE[:, _CUT] = 0
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every input bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _stretches(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+def stretches(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start, start + 1, ..., count of them, for each pair, on end."""
     upto = np.cumsum(count)
     return np.repeat(start - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
 
 
+def spans(data: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, of each text its first span's number and the end) of the runs of bytes that cut (by byte) leaves of the texts that offsets cut data into."""
+    base = offsets - offsets[0]
+    inside = ~cut[data]
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    edge = base[1:-1][(base[1:-1] > 0) & (base[1:-1] < len(data))]
+    begin[edge] = inside[edge]
+    end[edge - 1] = inside[edge - 1]
+    start = np.flatnonzero(begin)
+    return start, np.flatnonzero(end) + 1 - start, np.searchsorted(start, base)
+
+
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Bytes beyond which a span is hashed and compared by itself.
+LONG = 256
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as an integer; zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes at a time through a mixing function, all spans in lockstep; BLAKE2b for long ones.
+
+    Each step is a bijection of what it adds, so spans of equal size up to eight bytes never share a hash.
+    """
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    view, live, at = eights(data), np.flatnonzero(size <= LONG), 0
+    while len(live):
+        left = size[live] - at
+        out[live] = mix(out[live] * np.uint64(0x9FB21C651E98DF25) + (view[start[live] + at] & _KEEP[np.minimum(left, 8)]))
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]], digest_size=8).digest(), "little")
+    return out
+
+
+_CUT = np.zeros(256, bool)
+_CUT[[10, 32]] = True
+
+
 class ByteChunks:
-    """The same in numpy, over the texts' bytes: each chunk becomes a row of small integers, and a text the rows of its chunks on end.
+    """Each chunk of the texts' bytes becomes a row of small integers, worked out once, and a text the rows of its chunks on end.
 
-    A chunk is known by two independent 64-bit hashes of its bytes. The table keeps up to `size` chunks (about 50 bytes each);
-    when it is full, those go that were met least often, counting each call once.
+    A chunk is looked up by a 64-bit hash of its bytes and then compared with the bytes that the table has: one that shares
+    another's hash is worked out by itself. The table keeps up to `size` chunks and `most` bytes of them and of their rows; when
+    it is full, those go that were met least often, counting each call once.
     """
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], kind: str, size: int = 600_000):
-        self.make, self.kind, self.size = make, np.dtype(kind), size
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    def __init__(self, make: Callable[[list[str]], list[bytes]], kind: str, size: int = 600_000, most: int = 96 << 20):
+        self.make, self.kind, self.size, self.most = make, np.dtype(kind), size, most
+        self.keys, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
-        self.hits = np.zeros(0, np.int32)
+        self.at, self.bytes, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _prune(self) -> None:
-        least = 2
-        while (self.hits >= least).sum() > self.size // 2:
+        least, weight = 2, self.bytes + self.count * self.kind.itemsize
+        keep = self.hits >= least
+        while keep.sum() > self.size // 2 or weight[keep].sum() > self.most // 2:
             least *= 2
-        keep = np.flatnonzero(self.hits >= least)
-        self.pool = self.pool[_stretches(self.start[keep], self.count[keep])]
-        self.keys, self.checks, self.count, self.hits = (x[keep] for x in (self.keys, self.checks, self.count, self.hits))
-        self.start = np.cumsum(self.count) - self.count
+            keep = self.hits >= least
+        keep = np.flatnonzero(keep)
+        self.pool, self.text = self.pool[stretches(self.start[keep], self.count[keep])], self.text[stretches(self.at[keep], self.bytes[keep])]
+        self.keys, self.count, self.bytes, self.hits = (x[keep] for x in (self.keys, self.count, self.bytes, self.hits))
+        self.start, self.at = np.cumsum(self.count) - self.count, np.cumsum(self.bytes) - self.bytes
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(integers of all texts on end, where each text's integers begin and the last ends) for texts that offsets cut data (UTF-8) into."""
-        base = offsets - offsets[0]
-        none = np.zeros(0, self.kind), np.zeros(len(base), np.int64)
+        none = np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
         if not len(data):
             return none
-        gap = _CUT[data]
-        begin = ~gap
-        begin[1:] &= gap[:-1]
-        edge = base[:-1][base[:-1] < base[1:]]
-        begin[edge] |= ~gap[edge]
-        first = np.flatnonzero(begin)
+        first, sizes, of_text = spans(data, offsets, _CUT)
         if not len(first):
             return none
-        sizes = np.diff(np.append(first, len(data)))
-        body = data[first[0] :]
-        place = np.arange(len(body)) - np.repeat(first - first[0], sizes)
-        hashes = []
-        for code, step in zip(_CODE, _STEP):
-            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), step)]))
-            h = np.add.reduceat(code[body] * power[place], first - first[0])
-            hashes.append((h ^ (h >> np.uint64(29))) * step)
-        del place, power
-        keys, where, inverse = np.unique(hashes[0], return_index=True, return_inverse=True)
-        entry = self._entries(keys, hashes[1][where], data, first[where], base)
+        keys, where, inverse = np.unique(span_hashes(data, first, sizes), return_index=True, return_inverse=True)
+        entry = self._entries(keys, data, first[where], sizes[where])
         self.hits[entry] += 1
         entry = entry[inverse]
-        if (self.checks[entry] != hashes[1]).any():  # two chunks share one of the hashes
-            return self._one_by_one(data, base)
-        count = self.count[entry]
+        start, count, pool = self.start[entry], self.count[entry], self.pool
+        odd = np.flatnonzero(~self._same(entry, data, first, sizes))
+        if len(odd):
+            values = self._made(data, first[odd], sizes[odd])
+            count[odd] = [len(v) // self.kind.itemsize for v in values]
+            start[odd] = len(pool) + np.cumsum(count[odd]) - count[odd]
+            pool = np.concatenate([pool, np.frombuffer(b"".join(values), self.kind)])
         upto = np.concatenate([[0], np.cumsum(count)])
-        return self.pool[_stretches(self.start[entry], count)], upto[np.searchsorted(first, base)]
-
-    def _entries(self, keys: np.ndarray, checks: np.ndarray, data: np.ndarray, first: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return pool[stretches(start, count)], upto[of_text]
+
+    def _made(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
+        raw = data.tobytes()
+        return self.make([raw[i : i + n].decode() for i, n in zip(start.tolist(), size.tolist())])
+
+    def _same(self, entry: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each span has the bytes that its entry has."""
+        same = self.bytes[entry] == size
+        own, kept, live, at = eights(data), eights(self.text), np.flatnonzero(same & (size <= LONG)), 0
+        while len(live):
+            left = size[live] - at
+            same[live] = (own[start[live] + at] ^ kept[self.at[entry[live]] + at]) & _KEEP[np.minimum(left, 8)] == 0
+            at += 8
+            live = live[(left > 8) & same[live]]
+        for i in np.flatnonzero(same & (size > LONG)).tolist():
+            a, n = self.at[entry[i]], size[i]
+            same[i] = np.array_equal(self.text[a : a + n], data[start[i] : start[i] + n])
+        return same
+
+    def _entries(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Where the distinct sorted keys stand in the table; those it lacks are worked out and put in."""
-        if len(self.keys) + len(keys) > self.size:
+        if len(self.keys) + len(keys) > self.size or len(self.text) + self.pool.nbytes > self.most:
             self._prune()
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            stops = np.sort(np.concatenate([np.flatnonzero(_CUT[data]), base[1:]]))
-            raw, a = data.tobytes(), first[new]
-            ends = stops[np.searchsorted(stops, a, "right")]
-            values = self.make([raw[i:j].decode() for i, j in zip(a.tolist(), ends.tolist())])
+            values = self._made(data, start[new], size[new])
             sizes = np.array([len(v) for v in values], np.int64) // self.kind.itemsize
-            starts = len(self.pool) + np.cumsum(sizes) - sizes
+            starts, places = len(self.pool) + np.cumsum(sizes) - sizes, len(self.text) + np.cumsum(size[new]) - size[new]
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(values), self.kind)])
+            self.text = np.concatenate([self.text, data[stretches(start[new], size[new])]])
             order = np.argsort(np.concatenate([self.keys, keys[new]]), kind="stable")
-            none = np.zeros(len(new), np.int32)
-            self.keys, self.checks, self.start, self.count, self.hits = (np.concatenate(x)[order] for x in ((self.keys, keys[new]), (self.checks, checks[new]), (self.start, starts), (self.count, sizes), (self.hits, none)))
+            more = ((self.keys, keys[new]), (self.start, starts), (self.count, sizes), (self.at, places), (self.bytes, size[new]), (self.hits, np.zeros(len(new), np.int32)))
+            self.keys, self.start, self.count, self.at, self.bytes, self.hits = (np.concatenate(x)[order] for x in more)
             at = np.searchsorted(self.keys, keys)
         return at
-
-    def _one_by_one(self, data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw, out = data.tobytes(), []
-        for i, j in zip(base[:-1].tolist(), base[1:].tolist()):
-            out.append(b"".join(self.make([c for c in raw[i:j].decode().replace("\n", " ").split(" ") if c])))
-        return np.frombuffer(b"".join(out), self.kind), np.concatenate([[0], np.cumsum([len(x) // self.kind.itemsize for x in out])])

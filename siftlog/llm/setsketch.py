@@ -6,10 +6,12 @@ sketch of the union, and two registers agree with a probability that rises with
 1). Bands of R registers are the candidate keys: with 18 bands of 4, a pair at J = 0.8 shares none with probability 4e-5.
 
 Documents with equal sets are one node from the start. Within a band's bucket every node is compared with the bucket's least
-node, on full sets. Where a bucket then still holds several components, all its pairs across components are estimated, jointly
-by likelihood from registers greater, less and equal; nodes that may have a partner are compared on full sets, block by block,
-inside a task, and what is linked already isn't compared. So no link between different texts that share a band is lost, no
-pairs are emitted but verified links, and no bucket is gathered in one task.
+node, on full sets. Where a bucket then still holds several components, its pairs across components are estimated, jointly by
+likelihood from registers greater, less and equal, and compared on full sets in that order, block by block, inside a task; what
+is linked already isn't compared. So no link between different texts that share a band is lost, no pairs are emitted but
+verified links, and no bucket is gathered in one task. Sets too small to be linked with any other are left out beforehand.
+
+A set's elements are 64-bit hashes of its shingles, through a mixing function that leaves no structure to collide on.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.llm.chunks import release, text_slices
+from siftlog.llm.chunks import fresh, mix, release, span_hashes, spans, text_slices
 from siftlog.llm.components import components
 from siftlog.session import written
 
@@ -31,51 +33,25 @@ M = R * BANDS
 #: Two bytes for a register, as fine as they allow: registers of unlike sets agree with probability 0.0005, not the 0.09 of
 #: byte-sized ones, so a band of 4 brings together texts that are alike, whatever the number of documents.
 BASE, A, TOP = 1.001, 20.0, (1 << 16) - 1
-#: Pairs whose estimate is lower are not compared: 5 standard deviations of an estimate at 0.8 below 0.8.
-LEAST_ESTIMATE_BELOW = 0.24
 #: Nodes in a block of a bucket that is compared as a whole.
 BLOCK = 512
 
 _rng = np.random.Generator(np.random.PCG64(20210707))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(0, 1 << 63, M, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POW = np.uint64(0x9FB21C651E98DF25)
-_C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-for _b in range(65, 91):  # A-Z hash like a-z
-    _BYTE[_b] = _BYTE[_b + 32]
-_BYTE[_SPACE] = 0
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits that spreads every input bit."""
-    x = (x ^ (x >> np.uint64(30))) * _C1
-    x = (x ^ (x >> np.uint64(27))) * _C2
-    return x ^ (x >> np.uint64(31))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts that offsets cut data (UTF-8) into, and each text's number of words."""
-    n = len(offsets) - 1
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    space = _SPACE[data]
-    begin = ~space
-    begin[1:] &= space[:-1]
-    inner = offsets[:-1][(offsets[:-1] < offsets[1:])]
-    begin[inner - offsets[0]] |= ~space[inner - offsets[0]]
-    starts = np.flatnonzero(begin)
-    counts = np.diff(np.searchsorted(starts, offsets - offsets[0]))
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    sizes = np.diff(np.append(starts, len(data)))
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), _POW)]))
-    place = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], sizes)
-    # Spaces add nothing, so what follows a word up to the next one doesn't change it.
-    values = _BYTE[data[starts[0] :]] * power[place]
-    return mix(np.add.reduceat(values, starts - starts[0])), counts
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    start, size, of_text = spans(data, offsets, _SPACE)
+    return span_hashes(_LOWER[data], start, size), np.diff(of_text)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -83,17 +59,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
     words, counts = word_hashes(data, offsets)
     runs = words.copy()
     for j in range(1, k):
-        runs[: len(words) - j] = runs[: len(words) - j] * _POW + words[j:]
-    runs = mix(runs)
+        m = max(len(words) - j, 0)
+        runs[:m] = mix(runs[:m] * _POW + words[j : j + m])
     at = 0
     for n in counts.tolist():
         if n >= k:
             yield np.unique(runs[at : at + n - k + 1])
         elif n:
-            whole = np.uint64(n)
+            whole = np.array([n], np.uint64)
             for w in words[at : at + n]:
-                whole = np.uint64((int(whole) * int(_POW) + int(w)) & 0xFFFFFFFFFFFFFFFF)
-            yield mix(np.array([whole], np.uint64) ^ _C1)
+                whole = mix(whole * _POW + w)
+            yield whole
         else:
             yield np.zeros(0, np.uint64)
         at += n
@@ -228,13 +204,17 @@ def _groups(batches, width: int) -> Iterator[tuple[tuple, list]]:
         yield key, rows
 
 
-def _pairs(band: int, i: int, j: int, rows: list, least: float, ratio: float) -> Iterator[tuple[int, int]]:
-    """Pairs of rows (block, node, root, n, sketch, ...) in two blocks of a bucket, of different roots, that may be linked and whose first common band this is."""
+def _pairs(band: int, i: int, j: int, rows: list, ratio: float, least: float) -> list[tuple[int, int]]:
+    """Pairs of rows (block, node, root, n, sketch, ...) in two blocks of a bucket, of different roots, whose first common band this is, the most alike first.
+
+    Left out are pairs whose sizes alone rule a link out, and those with an estimate under least.
+    """
     block = np.array([r[0] for r in rows])
     regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, M)
     n = np.array([r[3] for r in rows], np.float64)
     _, root = np.unique(np.array([r[2] for r in rows], dtype=object), return_inverse=True)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    found = []
     for a in left:
         other = right[right > a] if i == j else right
         other = other[(root[other] != root[a]) & (np.minimum(n[other], n[a]) >= ratio * np.maximum(n[other], n[a]))]
@@ -244,15 +224,16 @@ def _pairs(band: int, i: int, j: int, rows: list, least: float, ratio: float) ->
         other = other[same.argmax(axis=1) == band]
         if len(other):
             est = estimate(np.broadcast_to(regs[a], (len(other), M)), regs[other], np.full(len(other), n[a]), n[other])
-            yield from ((int(a), int(x)) for x in other[est >= least])
+            found += [(-e, int(a), int(x)) for e, x in zip(est.tolist(), other.tolist()) if e >= least]
+    return [x[1:] for x in sorted(found)]
 
 
-def _candidates(least: float, ratio: float):
-    """Rows (band, key, i, j, block, node, root, n, sketch): the same rows less elements, for nodes that may have a partner in another component."""
+def _candidates(ratio: float, least: float):
+    """Rows (band, key, i, j, block, node, root, n, sketch): the same rows less elements, for nodes that have a pair in another component."""
 
     def run(batches):
         for (band, key, i, j), rows in _groups(batches, 4):
-            live = sorted({x for p in _pairs(band, i, j, rows, least, ratio) for x in p})
+            live = sorted({x for p in _pairs(band, i, j, rows, ratio, least) for x in p})
             if live:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -266,11 +247,11 @@ def _candidates(least: float, ratio: float):
     return run
 
 
-def _verify_blocks(least: float, ratio: float, num: int, den: int):
+def _verify_blocks(ratio: float, least: float, num: int, den: int):
     def run(batches):
         for (band, _, i, j), rows in _groups(batches, 4):
             sets, forest, links = [np.frombuffer(r[5], np.uint64) for r in rows], _Forest(), []
-            for a, b in _pairs(band, i, j, rows, least, ratio):
+            for a, b in _pairs(band, i, j, rows, ratio, least):
                 ra, rb = forest.find(rows[a][2]), forest.find(rows[b][2])
                 if ra != rb and linked(sets[a], sets[b], num, den):
                     forest.join(ra, rb)
@@ -287,24 +268,26 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch", at.alias("band")).select("band", F.expr(f"substring(sketch, band * {2 * R} + 1, {2 * R})").alias("key"), "node")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", least_estimate: float = 0.0) -> DataFrame:
     """One row for each input row: doc_id, digest (MD5 of the text), n_shingles, component_id, kept, only.
 
     Sets are distinct runs of k words, words being [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text with fewer words has one
     run, all of them; null text and text without words have the empty set and are linked with nothing. Two rows are linked if
     |and| / |or| of their sets is at least threshold, as a fraction. component_id is the least id reachable, kept is true where
     it is the row's own. Null ids sort last: a component of null ids alone has none. `only` marks, of kept rows that
-    share an id, those with one and the same set. Rows may repeat.
+    share an id, those with one and the same set. Rows may repeat. Beyond a bucket's least node, pairs whose estimated
+    similarity is under least_estimate are not compared: 0 compares all, more saves time and may lose links.
     """
     num, den = threshold
-    least, ratio = num / den - LEAST_ESTIMATE_BELOW, num / den
+    ratio = num / den
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
     described = written(rows.mapInArrow(_describe(k), _NODES), "near-docs")
     classes = written(described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "digest")).alias("one")), "near-classes")
 
     # Buckets with several nodes, and the least node of each as its star.
-    buckets = _buckets(classes)
+    # A set of n has at most n / (n + 1) with any other one.
+    buckets = _buckets(classes.where(F.col("n") * den >= num * (F.col("n") + 1)))
     stars = buckets.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("star")).where("size > 1")
     s = stars.select(F.col("band").alias("s_band"), F.col("key").alias("s_key"), "size", "star")
     members = written(buckets.join(s, (F.col("band") == F.col("s_band")) & (F.col("key") == F.col("s_key"))).select("band", "key", "size", "star", "node"), "near-buckets")
@@ -315,7 +298,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     one_text = rows.join(involved, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("digest") == F.col("c_digest")), "inner").select("node", "text")
     sets = written(one_text.mapInArrow(_set_rows(k), "node binary, elements binary").dropDuplicates(["node"]), "near-sets")
     links = written(_star_links(members, sets, num, den), "near-links")
-    links = links.unionByName(written(_rest_links(members, classes, sets, links, least, ratio, num, den), "near-links"))
+    links = links.unionByName(written(_rest_links(members, classes, sets, links, ratio, least_estimate, num, den), "near-links"))
 
     roots = components(links)
     joined = classes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "min_id", F.coalesce("root", "node").alias("root"))
@@ -339,7 +322,7 @@ def _star_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     return both.mapInArrow(_verify_stars(num, den), _LINKS)
 
 
-def _rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, least: float, ratio: float, num: int, den: int) -> DataFrame:
+def _rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, ratio: float, least: float, num: int, den: int) -> DataFrame:
     """Verified links within buckets that hold several components after the stars."""
     roots = components(links)
     m = members.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("band", "key", "size", "node", F.coalesce("root", "node").alias("root"))
@@ -353,16 +336,17 @@ def _rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, links:
     dealt = rows.withColumn("t", F.explode(meet)).select("band", "key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "block", "node", "root", "n", "sketch")
     order = ["band", "key", "i", "j"]
     kinds = "band int, key binary, i int, j int, block int, node binary, root binary, n long, sketch binary"
-    live = written(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_candidates(least, ratio), kinds), "near-live")
+    live = written(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_candidates(ratio, least), kinds), "near-live")
     full = live.join(sets.withColumnRenamed("node", "n_node"), F.col("node") == F.col("n_node")).select(*live.columns, "elements")
-    return full.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_verify_blocks(least, ratio, num, den), _LINKS)
+    return full.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_verify_blocks(ratio, least, num, den), _LINKS)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, less near duplicates: of each component the row with the least id stays, once."""
     found = near_duplicates(docs, k, threshold, id_col, text_col)
-    stays = found.where("kept and only").groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count("*").alias("__rows"))
-    on = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.unhex(F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))) == F.col("__digest"))
-    rows = docs.join(stays, on)
-    once = rows.where("__rows = 1").unionByName(rows.where("__rows > 1").dropDuplicates(["__id", "__digest"]))
+    key, digest, rows = fresh(docs.columns, "near_id", "near_digest", "near_rows")
+    stays = found.where("kept and only").groupBy(F.col("doc_id").alias(key), F.col("digest").alias(digest)).agg(F.count("*").alias(rows))
+    on = docs[id_col].cast("long").eqNullSafe(F.col(key)) & (F.unhex(F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))) == F.col(digest))
+    joined = docs.join(stays, on)
+    once = joined.where(F.col(rows) == 1).unionByName(joined.where(F.col(rows) > 1).dropDuplicates([key, digest]))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -30,6 +30,9 @@ from siftlog.session import new_path
 
 _LEN, _SUM, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB")
 END = b"\n"
+#: Bytes of a shard at most, but for a longer record. A shard is read as a whole.
+SHARD_BYTES = 128 << 20
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def masked(data: bytes) -> int:
@@ -147,32 +150,52 @@ def library_cache(path: str) -> tuple[ByteChunks, int]:
     return held(("library", path), make)
 
 
-def _encode(tokenizer: str, end_id: int | None):
+def _encode(tokenizer: str, end_id: int | None, shard_bytes: int):
+    """Rows (piece, frame): a task's frames in order, a new piece before shard_bytes are passed."""
+
     def run(batches):
         cache, width = library_cache(tokenizer)
         end = b"" if end_id is None else end_id.to_bytes(width, "little")
+        piece, size = 0, 0
         for b in batches:
             keys = b.column(0).to_pylist()
             for i, j, data, offsets in text_slices(b.column(1)):
                 ids, at = cache.rows(data, offsets)
                 raw, at = ids.tobytes(), (at * width).tolist()
-                rows = [frame(pack(d, raw[x:y] + end, width)) for d, x, y in zip(keys[i:j], at, at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["frame"])
+                rows, pieces = [], []
+                for d, x, y in zip(keys[i:j], at, at[1:]):
+                    rows.append(frame(pack(d, raw[x:y] + end, width)))
+                    if size and size + len(rows[-1]) >= shard_bytes:
+                        piece, size = piece + 1, 0
+                    size += len(rows[-1]) + 1
+                    pieces.append(piece)
+                yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array(rows, pa.binary())], names=["piece", "frame"])
 
     return run
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every whole text and write the shards below path, in ascending id order.
 
     Null text counts as empty (a record with the end id alone, or no id). Rows without an id come first; rows that share an
     id follow one another in the order of their texts. Other columns are not read. No rows give a folder without records.
-    Texts are sorted before they are encoded, since they pack better than ids: the one shuffle carries them alone.
+    Texts are sorted before they are encoded, since they pack better than ids: the one shuffle carries them alone. There are as
+    many ranges as the texts' bytes ask for, and a task cuts its range into pieces: no shard has more than shard_bytes, but for
+    one that holds a single record. Shards are in the order of their range's number, then of their piece's.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # Spark cuts the ranges and merges small ones; neighbours stay neighbours, so file names follow the order of the ids.
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_encode(tokenizer, end_id), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(-(-size // shard_bytes), 2 * spark.sparkContext.defaultParallelism)
+    ordered = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    found = ordered.mapInArrow(_encode(tokenizer, end_id, shard_bytes), "piece int, frame binary").select("piece", F.col("frame").cast("string").alias("value"))
+    # With a writer open for each piece, Spark doesn't sort a task's rows by piece, so they stay in order.
+    before = spark.conf.get(WRITERS, "0")
+    spark.conf.set(WRITERS, str(1 << 20))
+    try:
+        found.write.partitionBy("piece").option("lineSep", "\n").text(path)
+    finally:
+        spark.conf.set(WRITERS, before)
 
 
 _SCAN = "doc_id long, shard string, offset long, length long, n_tokens long, ids_crc32 long, in_shard long"
@@ -185,20 +208,22 @@ def _scan(batches):
             rows, before = [], 0
             for at, n, payload in frames(data.as_buffer()):
                 doc_id, ids = unpack(payload)
-                rows.append((doc_id, path.rsplit("/", 1)[-1], at, n, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), before))
+                rows.append((doc_id, "/".join(path.rsplit("/", 2)[-2:]), at, n, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), before))
                 before += len(ids)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCAN_ARROW.types)], schema=_SCAN_ARROW)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def _with_start(rows: DataFrame) -> DataFrame:
     """start: the ids of all records before. One row for each shard, its number of ids, is summed over the shards in one place."""
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
-    first = totals.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before"))
+    number = lambda pattern: F.regexp_extract("shard", pattern, 1).cast("int")
+    in_order = Window.orderBy(number(r"/part-(\d+)"), number(r"piece=(\d+)/"))
+    first = totals.select("shard", (F.sum("ids").over(in_order) - F.col("ids")).alias("before"))
     return rows.join(first, "shard").select("doc_id", "shard", "offset", "length", "n_tokens", "ids_crc32", (F.col("in_shard") + F.col("before")).alias("start"))
 
 
@@ -231,13 +256,13 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     wanted = index.groupBy("shard").agg(F.collect_list(F.struct("offset", "length")).alias("at"))  # a shard's records, bounded by its size
-    files = _files(spark, path).withColumn("shard", F.element_at(F.split("path", "/"), -1))
+    files = _files(spark, path).withColumn("shard", F.array_join(F.slice(F.split("path", "/"), -2, 2), "/"))
     return files.join(wanted, "shard").select("content", "at").mapInArrow(run, "doc_id long, ids array<long>")
 
 
-def token_records(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_records(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the records and their index below the shared folder, and return what the index and the files say."""
     spark = docs.sparkSession
     path = new_path(spark, "records")
-    write_records(docs, f"{path}/shards", tokenizer, end_id, id_col, text_col)
+    write_records(docs, f"{path}/shards", tokenizer, end_id, id_col, text_col, shard_bytes)
     return write_index(spark, f"{path}/shards", f"{path}/index")

@@ -4,7 +4,10 @@ For each language, every piece of a fixed public vocabulary has a probability. T
 ways to cut it into pieces, of the products of their probabilities; a forward pass over the word's positions adds them up.
 The probabilities are learnt by expectation maximisation from the counts of words in labelled texts: a forward and a backward
 pass give each piece's expected count. A text's score for a language is the sum over its words, and the published score is
-the posterior of the best language. Words are runs of letters, in lower case; a run of over 32 letters counts as several.
+the posterior of the best language. Words are runs of letters, of any length, in lower case.
+
+The fit runs in Spark: each round, tasks add up whole numbers for each piece over the words that they hold, and the driver gets
+one row for each piece.
 """
 
 from __future__ import annotations
@@ -19,22 +22,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlog.llm.bpe import KeyMap
-from siftlog.llm.chunks import ByteChunks, held, text_slices
+from siftlog.llm.chunks import ByteChunks, fresh, held, text_slices
+from siftlog.session import dropped, written
 
-LONGEST = 32
+#: Letters up to which a word's sums stay in the range of doubles; beyond, the same sums are taken of logarithms.
+PLAIN = 32
 UNKNOWN = 1e-7
+#: Expected counts are added up as whole multiples of 1 / UNIT, so that the order of adding doesn't matter.
+UNIT = 1 << 20
 _CP = np.uint64(1 << 21)
 
 
+def usable(path: str):
+    """The vocabulary, and the ids of its pieces of text."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sp, [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+
+
 class Pieces:
     """The vocabulary as a trie over code points; edges(words) lists all pieces that match anywhere in the words."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        usable = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        self.pieces = [sp.id_to_piece(i) for i in usable]
+        sp, ids = usable(path)
+        self.pieces = [sp.id_to_piece(i) for i in ids]
         keys, nodes, piece, index = [], [], [-1], {}
         for k, text in enumerate(self.pieces):
             at = 0
@@ -98,48 +110,83 @@ def _walk(edges, p: np.ndarray, backward: bool = False):
     return sums, src, dst, first
 
 
+def _walk_logs(edges, logs: np.ndarray, backward: bool = False):
+    """The same of logarithms, for words whose probabilities are too small for doubles."""
+    word, start, size, piece, lengths = edges
+    first = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+    sums = np.full((int((lengths + 1).sum()), logs.shape[1]), -np.inf)
+    src, dst = first[word] + start, first[word] + start + size
+    cuts = np.searchsorted(start, np.arange(int(lengths.max()) + 1))
+    steps = list(zip(cuts[:-1], cuts[1:]))
+    sums[first + lengths if backward else first] = 0
+    for a, b in reversed(steps) if backward else steps:
+        if backward:
+            np.logaddexp.at(sums, src[a:b], sums[dst[a:b]] + logs[piece[a:b]])
+        else:
+            sums[dst[a:b]] = np.logaddexp(sums[dst[a:b]], sums[src[a:b]] + logs[piece[a:b]])
+    return sums, src, dst, first
+
+
+def _by_length(words: list[str]) -> list[tuple[bool, np.ndarray]]:
+    """(whether sums need logarithms, numbers of the words), without empty parts."""
+    long_ = np.array([len(w) > PLAIN for w in words], bool)
+    return [(kind, at) for kind in (False, True) if len(at := np.flatnonzero(long_ == kind))]
+
+
 def word_scores(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
     """log P(word | language), a row for each word."""
-    if not words:
-        return np.zeros((0, p.shape[1]))
-    edges = pieces.edges(words)
-    sums, _, _, first = _walk(edges, p)
-    return np.log(sums[first + edges[4]])
-
+    out = np.zeros((len(words), p.shape[1]))
+    for logs, at in _by_length(words):
+        edges = pieces.edges([words[i] for i in at])
+        sums, _, _, first = _walk_logs(edges, np.log(p)) if logs else _walk(edges, p)
+        ends = sums[first + edges[4]]
+        out[at] = ends if logs else np.log(ends)
+    return out
 
-def train(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = 4) -> np.ndarray:
-    """Piece probabilities for each language (columns), from the words' counts in each (rows: words), by EM.
 
-    After each round a language's counts are smoothed by all languages' counts together, so that no piece is impossible.
-    """
-    n, k = pieces.unknown + 1, counts.shape[1]
-    p = np.full((n, k), 1.0 / n)
-    p[pieces.unknown] = UNKNOWN
-    if not words:
-        return p
-    for _ in range(rounds):
-        expected = np.zeros((n, k))
-        for a in range(0, len(words), 20_000):
-            edges, c = pieces.edges(words[a : a + 20_000]), counts[a : a + 20_000]
+def expected(pieces: Pieces, p: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces (rows) in each language (columns), in multiples of 1 / UNIT, from words with their counts."""
+    n, k = p.shape
+    out = np.zeros((n, k), np.int64)
+    for logs, at in _by_length(words):
+        edges, c = pieces.edges([words[i] for i in at]), counts[at]
+        word, piece = edges[0], edges[3]
+        if logs:
+            fore, src, dst, first = _walk_logs(edges, np.log(p))
+            back, *_ = _walk_logs(edges, np.log(p), backward=True)
+            share = np.exp(fore[src] + np.log(p)[piece] + back[dst] - fore[first + edges[4]][word]) * c[word]
+        else:
             fore, src, dst, first = _walk(edges, p)
             back, *_ = _walk(edges, p, backward=True)
-            weight = c / fore[first + edges[4]]
-            share = fore[src] * p[edges[3]] * back[dst] * weight[edges[0]]
-            for j in range(k):
-                expected[:, j] += np.bincount(edges[3], share[:, j], n)
-        expected[pieces.unknown] = 0
-        pooled = expected.sum(axis=1, keepdims=True) + 0.01
-        p = expected + pooled / pooled.sum() * 0.01 * expected.sum(axis=0, keepdims=True) + 1e-9
-        p /= p.sum(axis=0, keepdims=True)
-        p[pieces.unknown] = UNKNOWN
+            share = fore[src] * p[piece] * back[dst] * (c / fore[first + edges[4]])[word]
+        share = np.rint(share * UNIT)
+        for j in range(k):
+            out[:, j] += np.bincount(piece, share[:, j], n).astype(np.int64)
+    return out
+
+
+def start(pieces: int, languages: int) -> np.ndarray:
+    """Equal probabilities for all pieces; the last row is the unknown piece."""
+    p = np.full((pieces + 1, languages), 1.0 / (pieces + 1))
+    p[pieces] = UNKNOWN
+    return p
+
+
+def renewed(counts: np.ndarray) -> np.ndarray:
+    """Probabilities from expected counts. A language's counts are smoothed by all languages' counts together, so that no piece is impossible."""
+    counts = counts / UNIT
+    counts[-1] = 0
+    pooled = counts.sum(axis=1, keepdims=True) + 0.01
+    p = counts + pooled / pooled.sum() * 0.01 * counts.sum(axis=0, keepdims=True) + 1e-9
+    p /= p.sum(axis=0, keepdims=True)
+    p[-1] = UNKNOWN
     return p
 
 
 def letters(text: str) -> list[str]:
     import regex
 
-    runs = regex.findall(r"\p{L}+", text.lower())
-    return [r[i : i + LONGEST] for r in runs for i in range(0, len(r), LONGEST)]
+    return regex.findall(r"\p{L}+", text.lower())
 
 
 def held_out(id_col: Column) -> Column:
@@ -147,17 +194,38 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 800):
+def _pieces(vocabulary: str) -> Pieces:
+    return held(("pieces", vocabulary), lambda: Pieces(vocabulary))
+
+
+def _expect(vocabulary: str, sent):
+    """Rows (word, counts): piece, and for each language its expected count; a row for each piece that a task has met."""
+
+    def run(batches):
+        pieces, p = _pieces(vocabulary), sent.value
+        total = np.zeros(p.shape, np.int64)
+        for b in batches:
+            counts = np.stack([np.asarray(c, np.float64) for c in b.columns[1:]], axis=1)
+            total += expected(pieces, p, b.column(0).to_pylist(), counts)
+        met = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(met), *[pa.array(total[met, j]) for j in range(p.shape[1])]], names=["piece", *[f"e{j}" for j in range(p.shape[1])]])
+
+    return run
+
+
+def learn(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 800, rounds: int = 4):
     """(languages, probabilities) from rows with a language that are not held out.
 
-    The fit uses about sample_docs documents of each language, chosen by a hash of their text; this bounds the words
-    that reach the driver. Without labelled rows there are no languages.
+    The fit uses about sample_docs documents of each language, chosen by a hash of their text and id. Their words are counted
+    and, in each round of EM, worked on in Spark; the driver gets a row for each language and for each piece of the vocabulary.
+    Without labelled rows there are no languages.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     n = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}
     langs = sorted(n)
     if not langs:
         return [], np.zeros((0, 0))
+    spark = docs.sparkSession
     at = F.pmod(F.xxhash64(F.col(text_col), F.col(id_col)), F.lit(1 << 20))
     share = F.coalesce(*[F.when(F.col(lang_col) == x, F.lit(int((1 << 20) * min(1, sample_docs / n[x])) + 1)) for x in langs])
     sample = known.where(at < share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -168,12 +236,21 @@ def learn(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: st
             if c:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c]), pa.array([k[1] for k in c]), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
-    got = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    where = {w: i for i, w in enumerate(sorted(set(got.column("word").to_pylist())))}
-    counts = np.zeros((len(where), len(langs)))
-    for x, w, c in zip(got.column("lang").to_pylist(), got.column("word").to_pylist(), got.column("n").to_pylist()):
-        counts[where[w], langs.index(x)] = c
-    return langs, train(Pieces(vocabulary), list(where), counts)
+    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("word").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{j}") for j, x in enumerate(langs)])
+    words = written(counted.repartition(spark.sparkContext.defaultParallelism, "word"), "langid-words")
+    kinds = ", ".join(["piece long", *[f"e{j} long" for j in range(len(langs))]])
+    p = start(len(usable(vocabulary)[1]), len(langs))
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(p)
+        got = words.mapInArrow(_expect(vocabulary, sent), kinds).groupBy("piece").agg(*[F.sum(f"e{j}").alias(f"e{j}") for j in range(len(langs))]).toArrow()
+        sent.destroy()
+        if not got.num_rows:
+            break
+        counts = np.zeros(p.shape, np.int64)
+        counts[got.column(0).to_numpy()] = np.stack([got.column(j + 1).to_numpy() for j in range(len(langs))], axis=1)
+        p = renewed(counts)
+    dropped(words)
+    return langs, p
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -253,7 +330,7 @@ def keep_known(docs: DataFrame, vocabulary: str, least: float = 0.5, accept: lis
     if not langs:
         return docs.limit(0)
     sent = spark.sparkContext.broadcast((langs, p))
-    mark = "__sift_keep"
+    (mark,) = fresh(docs.columns, "langid_keep")
     where = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField(mark, BooleanType())])
 

@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.llm.chunks import release
+from siftlog.llm.chunks import fresh, release
+from siftlog.llm.lookup import heaviest, look_up
+from siftlog.session import written
 
 #: Bytes of distinct text that one table holds before it is flushed (map side) or dealt to spill files (reduce side).
 TABLE_BYTES = 32 << 20
@@ -175,13 +177,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null ids only keeps null. Rows that repeat the kept id and text are all marked kept (rows_top counts them);
     drop_copies() leaves one. Other columns of docs, whatever their names, are not touched. No rows give no rows.
     """
-    groups = text_groups(docs, id_col, text_col, normalize, table_bytes)
     text = normal_text(F.col(text_col), normalize)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     # A second row for a digest means that two contents share it.
-    copies = groups.where("group_size > 1").withColumnRenamed("digest", "g_digest")
-    out = ids.join(copies, F.col("digest") == F.col("g_digest"), "left")
-    found = F.col("g_digest").isNotNull()
+    copies = written(text_groups(docs, id_col, text_col, normalize, table_bytes).where("group_size > 1").withColumnRenamed("digest", "g_digest").withColumn("found", F.lit(True)), "grace-groups")
+    out = look_up(ids, "digest", copies, "g_digest", "group_size", F.col("doc_id"))
+    found = F.col("found").isNotNull()
     return out.select(
         "doc_id",
         F.when(found, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
@@ -194,12 +195,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize=None, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, less the copies: each distinct text stays once, under its greatest id."""
-    groups = text_groups(docs, id_col, text_col, normalize, table_bytes).where("group_size > 1")
+    key, g_key, keep, many, h_key, h_keep = fresh(docs.columns, "grace_digest", "grace_group", "grace_keep", "grace_many", "grace_hot", "grace_hot_keep")
+    groups = written(text_groups(docs, id_col, text_col, normalize, table_bytes).where("group_size > 1"), "grace-groups")
+    copies = groups.select(F.col("digest").alias(g_key), F.col("keep_id").alias(keep), (F.col("rows_top") > 1).alias(many))
     text = normal_text(docs[text_col], normalize)
-    key, keep, many = "__sift_digest", "__sift_keep", "__sift_many"
-    copies = groups.select(F.col("digest").alias(key + "_g"), F.col("keep_id").alias(keep), (F.col("rows_top") > 1).alias(many))
-    marked = docs.withColumn(key, F.unhex(F.sha2(text.cast("binary"), 256))).join(copies, F.col(key) == F.col(key + "_g"), "left")
-    stays = F.col(key + "_g").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col(keep))
+    # Copies in the largest groups go before anything is shuffled.
+    hot = heaviest(groups, "digest", "group_size").select(F.col("digest").alias(h_key), F.col("keep_id").alias(h_keep))
+    rows = docs.withColumn(key, F.unhex(F.sha2(text.cast("binary"), 256))).join(F.broadcast(hot), F.col(key) == F.col(h_key), "left")
+    rows = rows.where(F.col(h_key).isNull() | F.col(id_col).cast("long").eqNullSafe(F.col(h_keep))).drop(h_key, h_keep)
+    marked = rows.join(copies, F.col(key) == F.col(g_key), "left")
+    stays = F.col(g_key).isNull() | F.col(id_col).cast("long").eqNullSafe(F.col(keep))
     # Rows that repeat both id and text are rare: only they are dealt out once more.
     single = marked.where(stays & ~F.coalesce(F.col(many), F.lit(False)))
     repeated = marked.where(stays & F.coalesce(F.col(many), F.lit(False))).dropDuplicates([key])

@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftlog.llm.chunks import fresh
 from siftlog.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
 #: Sources whose per-source figures are broadcast (at about 200 bytes each, 20 MB); with more of them the joins shuffle.
 BROADCAST_SOURCES = 100_000
+SALTS = 32
 
 
 def words(text: Column) -> Column:
@@ -63,8 +65,14 @@ def _targets(sources: DataFrame, weights: tuple[int, ...] | dict, share: Fractio
 
 
 def _with(df: DataFrame, side: DataFrame, small: bool, on: str = "source") -> DataFrame:
+    """df with its source's figures. Where they are too many to broadcast, each source's rows are dealt to SALTS keys."""
     side = side.withColumnRenamed(on, "__side")
-    return df.join(F.broadcast(side) if small else side, F.col(on).eqNullSafe(F.col("__side")), "inner").drop("__side")
+    same = F.col(on).eqNullSafe(F.col("__side"))
+    if small:
+        return df.join(F.broadcast(side), same, "inner").drop("__side")
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    side = side.withColumn("__key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(side, same & (F.col("__salt") == F.col("__key")), "inner").drop("__side", "__salt", "__key")
 
 
 def _border(cells: DataFrame, cell: str, base: Column) -> DataFrame:
@@ -75,7 +83,7 @@ def _border(cells: DataFrame, cell: str, base: Column) -> DataFrame:
     return upto.where(over).groupBy("source").agg(F.min(cell).alias(cell + "_border"), F.min_by(F.col("upto") - F.col("words"), cell).alias(cell + "_base"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] | dict = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] | dict = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """One row for each input row: doc_id, source, digest (MD5 of the text), size, source_size, target, copies, taken.
 
     size is the number of words, 0 for null or blank text. Sources in code point order, null last (a source of its own), weigh
@@ -92,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] | dict = (3, 1, 2), share: flo
         "mix-units",
     )
     sources = written(_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, share, cap), "mix-sources")
-    small = sources.count() <= BROADCAST_SOURCES
+    small = sources.count() <= broadcast_sources
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
@@ -131,11 +139,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] | dict = (3, 1, 2), share: flo
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: the rows of docs, each as often as mix() takes it, with docs' own columns."""
-    chosen = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).groupBy("doc_id", "source", "digest").agg(F.first("copies").alias("__copies")).where("__copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"), "__copies")
+    key, source, digest, copies, turn = fresh(docs.columns, "mix_id", "mix_source", "mix_digest", "mix_copies", "mix_turn")
+    chosen = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).groupBy("doc_id", "source", "digest").agg(F.first("copies").alias(copies))
+    chosen = chosen.where(F.col(copies) > 0).select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("digest").alias(digest), copies)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    on = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & docs[source_col].cast("string").eqNullSafe(F.col("__source")) & (F.unhex(F.md5(text.cast("binary"))) == F.col("__digest"))
-    rows = docs.join(chosen, on).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    on = docs[id_col].cast("long").eqNullSafe(F.col(key)) & docs[source_col].cast("string").eqNullSafe(F.col(source)) & (F.unhex(F.md5(text.cast("binary"))) == F.col(digest))
+    rows = docs.join(chosen, on).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

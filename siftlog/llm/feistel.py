@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlog.llm.chunks import fresh
+
 ROUNDS = 10
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to the end of 2099; 73049 = 17 * 4297
 
@@ -35,7 +37,7 @@ def _iban_of(size: int, countries: str) -> str:
 
 
 IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join(_iban_of(*x) for x in IBAN_SIZES.items())})(?![A-Za-z0-9])"
-DATE = r"(?<![\w.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w\-/]|\.\d)"
+DATE = r"(?<![\w.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?:(?![\w\-/]|\.\d)|(?=T\d{2}:?\d{2}))"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 IPV4 = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 # 19 digits before 16; the last three of them may also begin a phone number.
@@ -43,7 +45,11 @@ _TAIL = r"(?![2-9]\d{2}[ .\-][2-9]\d{2}[ .\-]\d{4}(?![\w\-]|\.\d))\d{3}"
 _FOURS = "|".join((rf"(?:\d{{4}} ){{4}}{_TAIL}", r"(?:\d{4}-){4}\d{3}", r"(?:\d{4} ){3}\d{4}", r"(?:\d{4}-){3}\d{4}", r"\d{4} \d{6} \d{4,5}", r"\d{4}-\d{6}-\d{4,5}", r"\d{13,19}"))
 CARD = rf"(?<![\w+\-.])(?:{_FOURS})(?![\w\-]|\.\d)"
 PHONE = r"(?<![\w+.\-])(?:\+1[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?![\w\-]|\.\d)"
-PATTERN = "|".join((MAIL, IBAN, DATE, SSN, IPV4, CARD, PHONE))
+#: + and 8 to 15 digits, in groups or not.
+WORLD = r"(?<![\w+.\-])\+[1-9](?:[ .\-()]{0,2}\d){7,14}(?![\w\-]|\.\d)"
+#: Calling codes of one and two digits; all others have three.
+CODE_1, CODE_2 = "^[17]", "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+PATTERN = "|".join((MAIL, IBAN, DATE, SSN, IPV4, CARD, PHONE, WORLD))
 
 
 def _hash(key: str, tag, i: Column, half: Column) -> Column:
@@ -105,11 +111,18 @@ def card(key: str, m: Column) -> Column:
 
 
 def phone(key: str, m: Column) -> Column:
-    d = F.substr(_digits(m), F.length(_digits(m)) - 9, F.lit(10))
+    """Numbers of the North American plan keep that plan; of others the calling code and the digit behind it stay."""
+    all_ = _digits(m)
+    d = F.substr(all_, F.length(all_) - 9, F.lit(10))
     at = lambda i, n: F.substr(d, F.lit(i), F.lit(n)).cast("long")
     s = permute(key, "phone", at(1, 3) - 200, (at(4, 3) - 200) * 10000 + at(7, 4), F.lit(800), F.lit(8_000_000))
     new = F.concat((s["a"] + 200).cast("string"), (F.floor(s["b"] / 10000) + 200).cast("string"), _pad(s["b"] % 10000, F.lit(4)))
-    return _refill(m, F.when(F.startswith(m, F.lit("+")), F.concat(F.lit("1"), new)).otherwise(new), r"\d")
+    plus = F.startswith(m, F.lit("+"))
+    stay = F.when(all_.rlike(CODE_1), 2).when(all_.rlike(CODE_2), 3).otherwise(4)
+    rest = F.substr(all_, stay + 1, F.length(all_) - stay)
+    world = F.concat(F.substr(all_, F.lit(1), stay), _ten(key, F.concat(F.lit("world"), F.substr(all_, F.lit(1), stay), F.length(rest).cast("string")), rest))
+    american = all_.rlike(r"^1[2-9]\d{2}[2-9]\d{6}$")
+    return _refill(m, F.when(~plus, new).when(american, F.concat(F.lit("1"), new)).when(~all_.rlike("^1"), world), r"\d")
 
 
 def ssn(key: str, m: Column) -> Column:
@@ -129,19 +142,47 @@ def ipv4(key: str, m: Column) -> Column:
     return F.concat_ws(".", *[x.cast("string") for x in (F.floor(s["a"] / 256), s["a"] % 256, F.floor(s["b"] / 256), s["b"] % 256)])
 
 
+#: Of the 2,400 months' days those after the 12th: with the day first, nobody takes one of these for a month.
+LATE = DAYS - 12 * 2400
+
+
+def _month(i: Column) -> Column:
+    return F.add_months(F.lit(FIRST_DAY).cast("date"), i.cast("int"))
+
+
+def _late(key: str, y: Column, mo: Column, da: Column) -> Column:
+    """The pseudonym of a date whose day is after the 12th, onto another one, as ddMMyyyy."""
+    first = F.lit(FIRST_DAY).cast("date")
+    months = (y - 1900) * 12 + mo - 1
+    n = F.datediff(F.make_date(y, mo, da), first) - 12 * (months + 1)
+
+    def turned(x):
+        s = permute(key, "late", F.floor(x / 250), x % 250, F.lit(177), F.lit(250))
+        return s["a"] * 250 + s["b"]
+
+    # 177 * 250 is one more than there are dates: what lands there takes another turn.
+    once = F.transform(F.array(turned(n)), lambda x: F.when(x == LATE, turned(x)).otherwise(x))
+    before = lambda i: F.datediff(_month(i), first) - 12 * i
+    near = lambda x: F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda o: F.greatest(F.lit(0), F.least(F.lit(2399), F.floor(x * 2400 / LATE) + o)))
+    found = F.transform(once, lambda x: F.transform(F.array(F.array_max(F.filter(near(x), lambda i: before(i) <= x))), lambda i: F.date_add(_month(i), (x - before(i) + 12).cast("int")))[0])
+    return F.date_format(found[0], "ddMMyyyy")
+
+
 def date(key: str, m: Column) -> Column:
+    """Between slashes the month comes first where it can, else the day."""
     d = _digits(m)
     at = lambda i, n: F.substr(d, F.lit(i), F.lit(n)).cast("int")
     iso, us = m.rlike(r"^\d{4}"), F.contains(m, F.lit("/"))
     y = F.when(iso, at(1, 4)).otherwise(at(5, 4))
     mo = F.when(iso, at(5, 2)).when(us, at(1, 2)).otherwise(at(3, 2))
     da = F.when(iso, at(7, 2)).when(us, at(3, 2)).otherwise(at(1, 2))
-    ok = F.when(y.between(1900, 2099) & mo.between(1, 12), da.between(F.lit(1), F.dayofmonth(F.last_day(F.make_date(y, mo, F.lit(1))))))
+    real = lambda mo, da: F.when(y.between(1900, 2099) & mo.between(1, 12), da.between(F.lit(1), F.dayofmonth(F.last_day(F.make_date(y, mo, F.lit(1))))))
     n = F.datediff(F.make_date(y, mo, da), F.lit(FIRST_DAY).cast("date"))
     s = permute(key, "date", F.floor(n / 4297), n % 4297, F.lit(17), F.lit(4297))
     new = F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * 4297 + s["b"]).cast("int"))
     text = F.when(iso, F.date_format(new, "yyyyMMdd")).when(us, F.date_format(new, "MMddyyyy")).otherwise(F.date_format(new, "ddMMyyyy"))
-    return F.when(ok, _refill(m, text, r"\d"))
+    turned = us & ~iso & (at(1, 2) > 12) & F.coalesce(real(at(3, 2), at(1, 2)), F.lit(False))
+    return F.when(turned, _refill(m, _late(key, y, at(3, 2), at(1, 2)), r"\d")).when(real(mo, da), _refill(m, text, r"\d"))
 
 
 def _mod97(text: Column) -> Column:
@@ -211,16 +252,17 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """docs with text_col's validated values replaced, and a column of structs (kind, value, pseudonym) for each of them: found.
 
     Null text stays null and an empty one empty, with nothing found. Other columns pass through; a column called found is
-    replaced. Texts may have any length: work is in proportion to it, and to the number of candidates.
+    replaced. Ten digits without a separator or a plus are not taken for a phone number: too many other numbers look like that. Texts may have any length: work is in proportion to it, and to the number of candidates.
     """
     text = F.col(text_col).cast("string")
     some = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
     matches = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), _value)
     found = F.transform(matches, lambda m: F.struct(_kind(m["value"]).alias("kind"), m["value"].alias("value"), pseudonym(m["value"], key).alias("pseudonym"), m["rest"].alias("rest")))
     none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string,rest:string>>")
-    out = docs.withColumn("__all", F.when(some, found).otherwise(none))
+    (every,) = fresh([*docs.columns, "found"], "feistel_all")
+    out = docs.withColumn(every, F.when(some, found).otherwise(none))
     around = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(around, F.transform(F.col("__all"), lambda x: F.concat(F.coalesce(x["pseudonym"], x["value"]), x["rest"])), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    out = out.withColumn(text_col, F.when(F.size("__all") > 0, joined).otherwise(text))
-    kept = F.filter("__all", lambda x: x["pseudonym"].isNotNull())
-    return out.withColumn("found", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["pseudonym"].alias("pseudonym")))).drop("__all")
+    joined = F.array_join(F.zip_with(around, F.transform(F.col(every), lambda x: F.concat(F.coalesce(x["pseudonym"], x["value"]), x["rest"])), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    out = out.withColumn(text_col, F.when(F.size(every) > 0, joined).otherwise(text))
+    kept = F.filter(every, lambda x: x["pseudonym"].isNotNull())
+    return out.withColumn("found", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["pseudonym"].alias("pseudonym")))).drop(every)

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.llm.chunks import release, text_slices
-from siftlog.llm.setsketch import mix
+from siftlog.llm.chunks import mix, release, text_slices
 from siftlog.session import dropped, written
 
 L, K = 100, 32
 _MUL = np.uint64(0x9FB21C651E98DF25)
 _INV = np.uint64(pow(int(_MUL), -1, 1 << 64))
+_HALF = np.uint64(32)
 #: Bytes of pieces that one index is built over, but for a route with more; sized for a core's cache.
 BATCH = 1 << 19
 #: Passages of a piece at most: pieces are streamed side by side, so a long one would hold up the rest.
@@ -58,15 +58,15 @@ def passages(data: np.ndarray, offsets: np.ndarray, length: int = L, k: int = K)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     gram = mix((sums[k:] - sums[:-k]) * powers(_INV, n - k))
-    bits = np.uint64(n.bit_length())
-    # Hash above, position below: the minimum is the leftmost of the least.
-    least = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
+    # Half a hash above, position below: the minimum is the leftmost of the least. As many bits whatever the texts' size, so that
+    # equal windows have the same anchor in every slice; a slice is under 2 GiB.
+    least = (gram >> _HALF << _HALF) | np.arange(len(gram), dtype=np.uint64)
     width, have = length - k + 1, 1
     while have < width:
         step = min(have, width - have)
         least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    anchor = (least & ((np.uint64(1) << _HALF) - np.uint64(1))).astype(np.int64)
     base = offsets - offsets[0]
     sizes = np.diff(base)
     # A window starts at each place that has `length` bytes of its own text ahead.
@@ -395,16 +395,16 @@ def remove_repeats(docs: DataFrame, length: int = L, k: int = K, id_col: str = "
     texts = rows.select("ord", "sub", "data")
     known = texts.mapInArrow(_anchors(length, k, False), "anchor long, ord long").groupBy("anchor").agg(F.count("*").alias("n"), F.min("ord").alias("route")).where("n > 1").select(F.col("anchor").alias("twice"), "route")
     places = texts.mapInArrow(_anchors(length, k, True), "anchor long, ord long, sub long, at long")
-    held = places = written(places.join(known.hint("shuffle_hash"), F.col("anchor") == F.col("twice")).select("anchor", "route", "ord", "sub", "at"), "rindex-places", large=True)
+    held = places = written(places.join(known.hint("shuffle_hash"), F.col("anchor") == F.col("twice")).select("anchor", "route", "ord", "sub", "at"), "rindex-places")
     load = places.groupBy("route").agg(F.sum(F.col("at").bitwiseAND(F.lit(255))).alias("bytes")).where(F.col("bytes") > crowd_bytes).select(F.col("route").alias("r"))
     places = places.join(load, F.col("route") == F.col("r"), "left").select("ord", "sub", F.struct("anchor", "route", "at", F.col("r").isNotNull().alias("crowded")).alias("x"))
     of_text = places.groupBy(F.col("ord").alias("o"), F.col("sub").alias("s")).agg(F.collect_set("x").alias("found"))  # less than one for each byte of a text
     cut = texts.join(of_text, (F.col("ord") == F.col("o")) & (F.col("sub") == F.col("s"))).select("ord", "sub", "data", "found")
-    cut = written(cut.mapInArrow(_cut(length), _CUT), "rindex-pieces", large=True)
+    cut = written(cut.mapInArrow(_cut(length), _CUT), "rindex-pieces")
     dropped(held)
 
     place = F.struct("ord", "sub", "start")
-    strings = written(cut.groupBy("whole", "route", "content_key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("content").alias("content")), "rindex-strings", large=True)
+    strings = written(cut.groupBy("whole", "route", "content_key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("content").alias("content")), "rindex-strings")
     # An anchor of a crowded route with very many different passages.
     full = strings.where("not whole").groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("route").alias("c"), F.lit(False).alias("c_whole"))
     on = (F.col("route") == F.col("c")) & (F.col("whole") == F.col("c_whole"))
@@ -419,7 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = L, k: int = K, id_col: str = "
     later = cut.join(firsts, (F.col("whole") == F.col("w")) & (F.col("route") == F.col("a")) & (F.col("content_key") == F.col("ck"))).where(place != F.col("first"))
     later = later.select("ord", "sub", F.col("start").alias("from"), (F.col("start") + F.col("size")).alias("to"))
     single = single.select("ord", "sub", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
-    marks = written(routed.unionByName(single).unionByName(later), "rindex-marks", large=True)
+    marks = written(routed.unionByName(single).unionByName(later), "rindex-marks")
     dropped(cut, strings)
     spans = marks.groupBy(F.col("ord").alias("o"), F.col("sub").alias("s")).agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     joined = rows.join(spans, (F.col("ord") == F.col("o")) & (F.col("sub") == F.col("s")), "left").select("doc_id", "data", "spans")

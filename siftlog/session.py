@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
+import re
 import tempfile
-import time
 import uuid
 import zipfile
 
@@ -39,12 +38,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset, as in tests, a local folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local folder of our own if master is local, an error if not."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siftlog-shared-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -75,28 +76,25 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+#: With this on, Spark deletes an action's shuffle files when the action ends; else they stay until the driver's JVM collects the plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back. Survives lost executors, unlike a local checkpoint."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    free_shuffles(spark, large)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftlog_path = path
     return out
 
 
-def free_shuffles(spark: SparkSession, wait: bool) -> None:
-    """Shuffle files go when the driver's JVM finds that no plan needs them any more; else they stay for as long as it runs.
-
-    What listeners still hold right after a job is free a moment later: worth the wait where shuffles are large.
-    """
-    gc.collect()
-    for pause in (0.2, 0.3) if wait else (0,):
-        time.sleep(pause)
-        spark.sparkContext._jvm.System.gc()
-
-
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for t in tables:

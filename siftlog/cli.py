@@ -6,8 +6,10 @@ import argparse
 import os
 import sys
 
+from pyspark.errors import PySparkException
+
 from siftlog import __version__, render
-from siftlog.errors import EngineError
+from siftlog.errors import EngineError, from_worker
 
 
 def positive(text: str) -> int:
@@ -91,7 +93,9 @@ def run(args, spark=None, embedder=None) -> int:
         for m in render.messages(found.report):
             print(m, file=sys.stderr)
         if args.verbose:
-            print(found.report.seconds, file=sys.stderr)
+            for stage, s in found.report.seconds.items():
+                print(f"{stage}: {s:.3f} s", file=sys.stderr)
+            print(f"peak memory: {found.report.peak_mb:.0f} MB", file=sys.stderr)
         for r in rows:
             print(render.json_line(r) if args.json else render.text_line(r, found.report))
         return 0 if rows else 1
@@ -100,6 +104,12 @@ def run(args, spark=None, embedder=None) -> int:
             if m:
                 print(m, file=sys.stderr)
         return e.exit_code
+    except PySparkException as e:
+        message = from_worker(e)
+        if message is None:
+            raise
+        print(message, file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

@@ -30,7 +30,7 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Terms hashed to `dimensions` buckets, with signs, to unit length. No model, no Python on the executors, the same on every engine that has MD5."""
+    """Counts of terms, hashed to `dimensions` buckets, to unit length. No model, no Python on the executors, the same on every engine that has MD5."""
 
     def __init__(self, dimensions: int = 32):
         self.dimensions = dimensions

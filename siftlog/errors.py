@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 # Kinds, causes and their sentences.
@@ -66,6 +67,12 @@ class EngineError(Exception):
         return EngineError, (self.kind, self.cause, self.path, self.note, self.report)
 
 
+def from_worker(e: Exception) -> str | None:
+    """The message of an EngineError that a Python worker raised: Spark passes it on as text."""
+    found = re.findall(r"siftlog\.errors\.EngineError: (.*)", str(e))
+    return found[-1] if found else None
+
+
 @dataclass
 class Report:
     """What a command has to say beside its rows."""
@@ -85,3 +92,4 @@ class Report:
     stale: list[tuple[str, str]] = field(default_factory=list)  # (source, changed | missing | unreadable)
     bundles: dict[str, dict[str, int]] = field(default_factory=dict)  # archive -> skipped entries by kind
     seconds: dict[str, float] = field(default_factory=dict)  # by stage
+    peak_mb: float = 0.0  # of the driver's Python

@@ -31,6 +31,7 @@ def ipv6(guard: str) -> str:
     return "(?:" + "|".join(f"{w}{guard}" for w in ways) + ")"
 
 
+# The classes of variable tokens.
 MASK_CLASSES = {
     "literal path": r"((?<!" + PATH + r")/[A-Za-z_/.\-+~%]++(?!\d))",
     "path": r"(?<!" + PATH + r")/(?=[A-Za-z_/.\-+~%]*+\d)" + PATH + "++",
@@ -56,7 +57,7 @@ CHAR = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
 RUN = f"{CHAR}++"
 COMPOUND = rf"(?<!{CHAR}){CHAR}++(?:[-_.:]++{CHAR}++)++"
 
-# Identifier tokens: the whole token has to match.
+# Shapes of identifiers. The whole token has to match.
 IDENTIFIER = "|".join(
     (
         rf"{HEX}{{8}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{12}}",

@@ -10,6 +10,7 @@ from siftlog.functions.text import LOWER, UPPER
 
 MODES = ("auto", "hybrid", "dense", "lexical")
 _PORT = re.compile(r"[0-9]+")
+# The shapes of identifiers.
 _SHAPES = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(?:0[xX])?(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{8,}|[0-9]{4,}|[A-Za-z]{2,10}[-_]-?[A-Za-z]?[0-9]{3,}|(?:/[^/\s]+){2,}/?")
 _RUN = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7F])+")
 _COMPOUND = re.compile(rf"{_RUN.pattern}(?:[-_.:]+{_RUN.pattern})+")

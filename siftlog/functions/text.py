@@ -29,11 +29,25 @@ def limit_value(text: Column, limit: int = LINE_LIMIT) -> Column:
 def mask_template(text: Column) -> Column:
     """Variable tokens (numbers, ids, addresses, times, paths with digits) become <*>; paths without a digit stay as they are.
 
-    Each match is put between two code points that no text holds, with the kept path, if any, in between.
+    Each match is put between two code points that stand for nothing, with the kept path, if any, in between. A text that
+    has these itself gets them written in another way first, and back afterwards.
     """
-    marked = F.regexp_replace(text, P.MASK, "\ufdd0$1\ufdd1")
-    plain = F.translate(F.replace(marked, F.lit("\ufdd0\ufdd1"), F.lit(P.MASKED)), "\ufdd0\ufdd1", "")
-    return F.when(text.rlike(P.MASK_HINT), plain).otherwise(text)
+
+    def masked(t: Column) -> Column:
+        marked = F.regexp_replace(t, P.MASK, "\ufdd0$1\ufdd1")
+        return F.translate(F.replace(marked, F.lit("\ufdd0\ufdd1"), F.lit(P.MASKED)), "\ufdd0\ufdd1", "")
+
+    def swapped(t: Column, pairs) -> Column:
+        for a, b in pairs:
+            t = F.replace(t, F.lit(a), F.lit(b))
+        return t
+
+    own = swapped(masked(swapped(text, _OWN)), [(b, a) for a, b in reversed(_OWN)])
+    return F.when(~text.rlike(P.MASK_HINT), text).when(text.rlike("[\ufdd0-\ufdd2]"), own).otherwise(masked(text))
+
+
+#: Other spellings of the code points that mark matches.
+_OWN = [("\ufdd2", "\ufdd2\ufdd3"), ("\ufdd0", "\ufdd2\ufdd4"), ("\ufdd1", "\ufdd2\ufdd5")]
 
 
 def lexical_terms(text: Column) -> Column:
@@ -92,10 +106,20 @@ def register(spark) -> None:
 
     quote = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
     lower = f"translate(x, '{UPPER}', '{LOWER}')"
+    own, masked = "t", lambda t: f"translate(replace(regexp_replace({t}, {quote(P.MASK)}, '\ufdd0$1\ufdd1'), '\ufdd0\ufdd1', '{P.MASKED}'), '\ufdd0\ufdd1', '')"
+    for a, b in _OWN:
+        own = f"replace({own}, '{a}', '{b}')"
+    own = masked(own)
+    for a, b in reversed(_OWN):
+        own = f"replace({own}, '{b}', '{a}')"
+    identifier = lambda t: f"({t} rlike {quote('^(?:' + P.IDENTIFIER + ')$')} AND NOT {t} rlike '[\\\\n\\\\r]$')"
+    unquoted = lambda t: f"regexp_replace({t}, {quote('(?s)^' + chr(34) + '(.*)' + chr(34) + '$')}, '$1')"
+    tokens = f"filter(transform(split({unquoted('q')}, '[\\\\t\\\\n\\\\r ]+'), x -> {unquoted('x')}), x -> x <> '')"
     bodies = {
-        "mask_template(t STRING) RETURNS STRING": f"CASE WHEN t rlike {quote(P.MASK_HINT)} THEN translate(replace(regexp_replace(t, {quote(P.MASK)}, '\ufdd0$1\ufdd1'), '\ufdd0\ufdd1', '{P.MASKED}'), '\ufdd0\ufdd1', '') ELSE t END",
+        "mask_template(t STRING) RETURNS STRING": f"CASE WHEN NOT t rlike {quote(P.MASK_HINT)} THEN t WHEN t rlike '[\ufdd0-\ufdd2]' THEN {own} ELSE {masked('t')} END",
         "lexical_terms(t STRING) RETURNS ARRAY<STRING>": f"transform(concat(regexp_extract_all(regexp_replace(t, '([a-z])([A-Z])', '$1 $2'), {quote(P.RUN)}, 0), regexp_extract_all(t, {quote(P.COMPOUND)}, 0)), x -> {lower})",
-        "is_identifier(t STRING) RETURNS BOOLEAN": f"t rlike {quote('^(?:' + P.IDENTIFIER + ')$')}",
+        "is_identifier(t STRING) RETURNS BOOLEAN": identifier("t"),
+        "query_class(q STRING) RETURNS STRING": f"CASE WHEN NOT exists({tokens}, x -> {identifier('x')}) THEN 'natural' WHEN size({tokens}) = 1 THEN 'identifier' ELSE 'mixed' END",
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -53,4 +53,6 @@ def fast_dot(query: list[float]):
 
 
 def register(spark) -> None:
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)")
+    sums = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+    body = f"CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN size(a) = size(b) AND size(a) > 0 THEN {sums} ELSE CAST(raise_error('vectors must have the same width, at least 1') AS DOUBLE) END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")

@@ -32,16 +32,17 @@ def with_terms(lines: DataFrame) -> DataFrame:
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """term, source_index, line_number, tf, dl: one row for each distinct term of a line.
+    """term, source_index, line_number, tf, dl, and the line's distinct_id where lines have one: one row for each distinct term of a line.
 
     No shuffle: a line's terms are sorted within its row, and the distance from one run's start to the next is its tf.
     """
-    rows = computed(lines.select(*KEY, "dl", "terms"), sorted=F.array_sort("terms"))
+    more = [c for c in ("distinct_id",) if c in lines.columns]
+    rows = computed(lines.select(*KEY, *more, "dl", "terms"), sorted=F.array_sort("terms"))
     first = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)))
     rows = computed(rows.where("dl > 0"), first=first)
-    place = rows.select(*KEY, "dl", "sorted", "first", F.posexplode("first").alias("k", "at"))
+    place = rows.select(*KEY, *more, "dl", "sorted", "first", F.posexplode("first").alias("k", "at"))
     after = F.coalesce(F.get("first", F.col("k") + 1), F.col("dl") + 1)
-    return place.select(F.get("sorted", F.col("at") - 1).alias("term"), *KEY, (after - F.col("at")).alias("tf"), "dl")
+    return place.select(F.get("sorted", F.col("at") - 1).alias("term"), *KEY, (after - F.col("at")).alias("tf"), "dl", *more)
 
 
 def statistics(lines: DataFrame, terms: tuple[str, ...], count_skipped: bool = False) -> Statistics:
@@ -94,8 +95,8 @@ def scored(lines: DataFrame, stats: Statistics) -> DataFrame:
     return computed(lines, bm25=score(F.col("terms"), F.col("dl"), stats), coverage=coverage(F.col("terms"), tuple(stats.df)))
 
 
-def score_postings(posted: DataFrame, stats: Statistics) -> DataFrame:
-    """source_index, line_number, bm25, coverage of the lines that hold a query term, from the inverted postings.
+def score_postings(posted: DataFrame, stats: Statistics, keep: tuple[str, ...] = ()) -> DataFrame:
+    """source_index, line_number, bm25, coverage, and keep's columns, of the lines that hold a query term, from the inverted postings.
 
     Only the query terms' postings are read: the filter reaches the Parquet scan. A line has at most one row for each query
     term, which is all that is gathered by line.
@@ -104,6 +105,6 @@ def score_postings(posted: DataFrame, stats: Statistics) -> DataFrame:
     hits = posted.where(F.col("term").isin(*terms)) if terms else posted.where(F.lit(False))
     idf_of = F.coalesce(*[F.when(F.col("term") == t, idf(stats.lines, n)) for t, n in stats.df.items()], F.lit(0.0))
     part = idf_of * weight(F.col("tf"), F.col("dl"), stats.average or 1.0)
-    rows = hits.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"))
+    rows = hits.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"), *[F.first(c).alias(c) for c in keep])
     total = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"])
-    return rows.select(*KEY, total.alias("bm25"), (F.size("parts").cast("double") / F.lit(float(max(len(terms), 1)))).alias("coverage"))
+    return rows.select(*KEY, total.alias("bm25"), (F.size("parts").cast("double") / F.lit(float(max(len(terms), 1)))).alias("coverage"), *keep)

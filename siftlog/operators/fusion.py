@@ -24,6 +24,26 @@ def moments(df: DataFrame, *columns: str) -> list[Moments]:
     return [Moments(got[f"m{i}"] or 0.0, got[f"d{i}"] or 0.0) for i in range(len(columns))]
 
 
+def weighted_moments(df: DataFrame, column: str, weight: str) -> Moments:
+    """Of values that stand for `weight` rows each; the mean first, then the squares around it."""
+    x, w = F.col(column), F.col(weight)
+    n, total = df.agg(F.sum(w), F.sum(x * w)).first()
+    if not n:
+        return Moments(0.0, 0.0)
+    mean = total / n
+    squares = df.agg(F.sum((x - F.lit(mean)) * (x - F.lit(mean)) * w)).first()[0]
+    return Moments(mean, (squares / n) ** 0.5)
+
+
+def moments_with_zeros(df: DataFrame, column: str, n: int) -> Moments:
+    """Of the column and as many zeros as make n values."""
+    some, mean, deviation = df.agg(F.count(column), F.avg(column), F.stddev_pop(column)).first()
+    if not some or not n:
+        return Moments(0.0, 0.0)
+    whole = mean * some / n
+    return Moments(whole, ((some * (deviation * deviation + (mean - whole) ** 2) + (n - some) * whole * whole) / n) ** 0.5)
+
+
 def stable_moments(df: DataFrame, ordinal: Column, column: str) -> Moments:
     """The same, to the last bit under any partitioning: blocks of 4096 values in the order of a dense ordinal from 0, folded in order.
 

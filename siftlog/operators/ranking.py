@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftlog.session import written
+
 PLACE = ("source_index", "line_number")
 
 
@@ -27,6 +29,16 @@ def ranked(best: DataFrame, order: list[Column]) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked_all(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rank from 1 for any number of rows: ranges are sorted each by itself, and numbered from the sum of the ranges before."""
+    ordered = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranked")
+    # The upper bits of at are the range's number, the others count its rows.
+    range_, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ordered.groupBy(range_.alias("range")).agg((F.max(row) + 1).alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    return ordered.join(F.broadcast(before), range_ == F.col("range")).withColumn("rank", F.col("before") + row + 1).drop("at", "range", "before")
+
+
 def best_of_group(rows: DataFrame, order: list[tuple[Column, bool]], group: str = "distinct_id", keep: tuple[str, ...] = ("score", "dense", "lexical")) -> DataFrame:
     """One row for each group: the `keep` columns of its best member, by (key, descending) pairs of numbers and booleans.
 

@@ -14,10 +14,10 @@ from siftlog.errors import EngineError, Report
 from siftlog.functions.text import LINE_LIMIT
 from siftlog.operators import bm25, dedup
 from siftlog.session import new_path
-from siftlog.sources.expand import expand, fingerprints, stale
+from siftlog.sources.expand import expand, fingerprints, in_store, qualified, stale
 from siftlog.sources.scan import scan, skip_counts
 
-VERSION = "1"
+VERSION = "2"
 TERMS_VERSION = "1"
 #: These must agree, or the vectors of query and corpus don't belong together.
 IDENTITY = ("model.id", "model.sha256", "vocab.sha256", "model.quantization", "dimensions")
@@ -26,10 +26,11 @@ COMPARED = ("batch", "truncate", "dedup", "mask", "tokens.max")
 TABLES = ("lines", "templates", "vectors", "postings", "sources", "stats", "policy")
 
 
+# The keys.
 def policy(embedder: Embedder) -> dict[str, str]:
     return dict(sorted({
-        "batch": f"window:{WINDOW},max:{MOST_TEXTS},tokens:{MOST_TOKENS},order:length-then-input", "bm25": f"k1:{bm25.K1},b:{bm25.B}", "dedup": "masked-v1", "lexical.terms": TERMS_VERSION,
-        "mask": "template-v1", "tokens.max": "256", "truncate": f"{LINE_LIMIT}-codepoints", "format": VERSION, **embedder.identity(),
+        "batch": f"{MOST_TEXTS} texts or {MOST_TOKENS} tokens of {WINDOW}, short ones first", "bm25": f"k1 {bm25.K1}, b {bm25.B}", "dedup": "by mask, 1", "lexical.terms": TERMS_VERSION,
+        "mask": "1", "tokens.max": "256", "truncate": f"{LINE_LIMIT} code points", "format": VERSION, **embedder.identity(),
     }.items()))
 
 
@@ -56,6 +57,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], found_policy: dict[str, str], stats: dict[str, int], path: str = ""):
         self.spark, self.tables, self.policy, self.stats, self.path = spark, tables, found_policy, stats, path
+        self.seconds: dict[str, float] = {}  # by stage
 
     def __getattr__(self, name):
         if name in TABLES:
@@ -68,6 +70,7 @@ class Index:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
         """A folder without a policy isn't a corpus: the policy is written last."""
+        began = time.perf_counter()
         try:
             found = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/policy").collect()}
             tables = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES if t not in ("policy", "stats")}
@@ -75,7 +78,9 @@ class Index:
         except Exception as e:
             missing = "PATH_NOT_FOUND" in str(e)
             raise EngineError("corpus_read", "file_open" if missing else "corrupt_file", path) from e
-        return cls(spark, tables, found, stats, path)
+        out = cls(spark, tables, found, stats, path)
+        out.seconds["corpus-read"] = time.perf_counter() - began
+        return out
 
 
 def prepare(records: DataFrame) -> DataFrame:
@@ -89,13 +94,16 @@ def write(records: DataFrame, embedder: Embedder, path: str, sources: list[tuple
     Templates are embedded, not lines. Postings are ordered by term, so that a query's terms prune row groups, unless by_term
     is false, as for an index that is searched once. Skipped records stay as lines without a template.
     """
-    spark = records.sparkSession
+    spark, at = records.sparkSession, [time.perf_counter()]
     prepare(records).select("source_index", "source", "line_number", "array_element", "distinct_id", "mask_key", "text" if keep_text else F.lit(None).cast("string").alias("text"), "terms", "dl", "skip_reason", "truncated").write.parquet(f"{path}/lines")
+    at.append(time.perf_counter())
     lines = spark.read.parquet(f"{path}/lines")
     dedup.templates(lines).write.parquet(f"{path}/templates")
     templates = spark.read.parquet(f"{path}/templates")
     dedup.check_ids(templates)
+    at.append(time.perf_counter())
     embedder.vectors(templates.select("distinct_id", "text")).write.parquet(f"{path}/vectors")
+    at.append(time.perf_counter())
     posted = bm25.postings(lines)
     if by_term:
         posted = posted.repartitionByRange("term", "source_index").sortWithinPartitions("term", "source_index", "line_number")
@@ -105,14 +113,17 @@ def write(records: DataFrame, embedder: Embedder, path: str, sources: list[tuple
     totals.write.parquet(f"{path}/stats")
     spark.createDataFrame(list(sources), "source_index long, path string, size long, modified_ns long, tracked boolean").coalesce(1).write.parquet(f"{path}/sources")
     spark.createDataFrame(list(policy(embedder).items()), "key string, value string").coalesce(1).write.parquet(f"{path}/policy")
-    return Index.open(spark, path)
+    at.append(time.perf_counter())
+    out = Index.open(spark, path)
+    out.seconds |= {"parse": at[1] - at[0], "embed": at[3] - at[2], "corpus-write": at[2] - at[1] + at[4] - at[3]}
+    return out
 
 
 def build(spark: SparkSession, paths: list[str], output: str, embedder: Embedder, json_field: str = "message", limits=None) -> Report:
     """Index files into output, or leave output as it was: tables are written to a folder beside it, which is then renamed."""
     began = time.perf_counter()
     files = expand(paths)
-    if os.path.exists(output) and any(p != "-" and os.path.exists(p) and os.path.samefile(p, output) for p in files):
+    if any(same_place(p, output) for p in files):
         raise EngineError("index_build", "output_is_input", output)
     before = fingerprints(files)
     records = scan(spark, *files, json_field=json_field, limits=limits)
@@ -132,10 +143,22 @@ def build(spark: SparkSession, paths: list[str], output: str, embedder: Embedder
             raise EngineError("corpus_write", "file_open", output)
     finally:
         fs.delete(draft, True)
-    report.seconds["index"] = time.perf_counter() - began
+    report.seconds = index.seconds | {"index": time.perf_counter() - began}
     return report
 
 
+def same_place(a: str, b: str) -> bool:
+    """Whether two paths that are there are one, also through links or, in a store, through another spelling."""
+    if a == "-" or in_store(a) != in_store(b):
+        return False
+    if in_store(a):
+        try:
+            return qualified(a) == qualified(b)
+        except EngineError:
+            return False
+    return os.path.exists(a) and os.path.exists(b) and os.path.samefile(a, b)
+
+
 def _paths(spark: SparkSession, *paths: str):
     jvm = spark.sparkContext._jvm
     out = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]

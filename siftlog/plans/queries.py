@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftlog.embed import HashEmbedder
 from siftlog.functions import text as T
 from siftlog.functions import vectors as V
-from siftlog.functions.query import Query
+from siftlog.functions.query import Query, resolve
 from siftlog.operators import bm25, dedup, fusion, metrics, ranking
 from siftlog.plans.index import temporary
 from siftlog.plans.search import hybrid_scores, search
@@ -111,11 +112,6 @@ def f1_limit_value(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", cut["text"].alias("text"), cut["truncated"].alias("truncated"))
 
 
-@query("SELECT page_id, position(chr(0) IN substr(html, 1, 4096)) > 0 AS is_binary FROM pages")
-def s10_binary_probe(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (F.instr(F.substring("html", 1, 4096), "\0") > 0).alias("is_binary"))
-
-
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(translate(p, '\', '/'), '^(?:\./)+', ''), '/+\z', '') AS label, regexp_matches(p, '(?i)\.(?:tar|tgz|tar\.gz|tar\.xz|zip)\z') AS archive, regexp_matches(p, '(?i)\.gz\z') AS gzip
   FROM (SELECT page_id, './' || replace(url, '://', '\') || CASE page_id % 4 WHEN 0 THEN '.TAR.gz' WHEN 1 THEN '.gz' WHEN 2 THEN '/' ELSE '.zip' END AS p FROM pages)""")
 def f11_member_names(spark, sf_dir):
@@ -216,7 +212,7 @@ k AS (SELECT q.query_id, query, CASE WHEN coalesce(ids, 0) = 0 THEN 'natural' WH
 SELECT query_id, query, query_class, CASE WHEN query_class = 'identifier' THEN 'lexical' ELSE 'hybrid' END AS mode FROM k""")
 def f6_auto_route(spark, sf_dir):
     q = spark.createDataFrame(list(enumerate(ROUTED)), "query_id int, query string").withColumn("query_class", T.query_class(F.col("query")))
-    return q.withColumn("mode", F.when(F.col("query_class") == "identifier", "lexical").otherwise("hybrid"))
+    return q.withColumn("mode", F.coalesce(*[F.when(F.col("query_class") == c, resolve("auto", c)) for c in ("identifier", "mixed", "natural")]))
 
 
 # BM25.
@@ -309,7 +305,7 @@ def w1_rank_order(spark, sf_dir):
     """NaN last, 0 and -0 equal, ties by place."""
     s = F.when(F.col("vec_id") % 5 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 5 == 1, F.lit(0.0)).when(F.col("vec_id") % 5 == 2, F.lit(-0.0)).otherwise((F.col("vec_id") % 3).cast("double")).cast("float")
     by = ranking.rank_before(place=("vec_id",))
-    return ranking.ranked(table(spark, sf_dir, "embeddings").select("vec_id", s.alias("score")), by).select(F.col("rank").cast("long").alias("rank"), "vec_id")
+    return ranking.ranked_all(table(spark, sf_dir, "embeddings").select("vec_id", s.alias("score")), by).select("rank", "vec_id")
 
 
 # Hybrid, routed and grouped search over the event log, with an index.
@@ -429,15 +425,28 @@ def metrics_mrr_recall_ndcg(spark, sf_dir):
     return _metrics(spark, sf_dir).agg(F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("recall_at_10"), F.round(F.avg("ndcg"), 6).alias("ndcg_at_10"))
 
 
-def _metrics(spark, sf_dir):
-    """Queries against all vectors; each task keeps ten rows for each query before anything moves."""
-    from pyspark.sql.window import Window
+#: Queries that meet all vectors at a time.
+QUERIES_IN_BLOCK = 1024
 
+
+def _metrics(spark, sf_dir):
+    """Queries against all vectors, a block of queries after the other: a task keeps ten rows for each query before anything moves."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"), F.col("label").alias("ql"))
-    rows = e.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("relevant"), V.dot(F.col("embedding"), F.col("e")).alias("score"))
-    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 10")
-    return metrics.metrics(top, rows.groupBy("query_id").agg(F.sum("relevant").alias("n_relevant")))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"), F.col("label").alias("ql"))
+    blocks = -(-asked.count() // QUERIES_IN_BLOCK)
+    parts = []
+    for n in range(max(blocks, 1)):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else asked
+        rows = e.crossJoin(F.broadcast(block)).where("vec_id <> query_id").select("query_id", "vec_id", (F.col("label") == F.col("ql")).cast("int").alias("relevant"), V.dot(F.col("embedding"), F.col("e")).alias("score"))
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        parts.append(ranked.where("rank <= 10").select("query_id", "vec_id", "relevant", "rank"))
+    top = parts[0]
+    for p in parts[1:]:
+        top = top.unionByName(p)
+    # What is relevant is a matter of labels: no second look at the pairs.
+    labels = e.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("n"))
+    relevant = asked.join(labels, F.col("ql") == F.col("l"), "left").select("query_id", (F.coalesce("n", F.lit(1)) - 1).alias("n_relevant"))
+    return metrics.metrics(top, relevant)
 
 
 def entry(spark: SparkSession) -> DataFrame:

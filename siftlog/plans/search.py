@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import resource
 import time
 from dataclasses import dataclass
 
@@ -37,83 +38,117 @@ def _rankable(index: Index) -> DataFrame:
     return index.lines.where(F.col("distinct_id").isNotNull())
 
 
-def _texts(index: Index, rows: DataFrame) -> DataFrame:
-    """Occurrences, and the template's text where a line's own isn't kept: joined to the k rows, after the limit."""
-    t = index.templates.select(F.col("distinct_id").alias("t_id"), F.col("text").alias("t_text"), "occurrences")
-    return F.broadcast(rows).join(t, F.col("distinct_id") == F.col("t_id")).withColumn("text", F.coalesce("text", "t_text")).drop("t_id", "t_text")
+#: Places up to which the scan of lines is pruned by a list of them.
+LISTED = 1000
 
 
-def _publish(index: Index, rows: DataFrame, order: list, mode: str) -> DataFrame:
-    full = ranking.ranked(_texts(index, rows), order)
-    return full.select(
-        "rank", "source", F.when(F.col("array_element"), "element").otherwise("line").alias("kind"), F.col("line_number").alias("line"), F.col("score").cast("float").alias("score"), "text", "occurrences",
+def _publish(index: Index, best: DataFrame, order: list, mode: str, group: bool) -> DataFrame:
+    """best (k rows: place, distinct_id, score, dense, lexical and what the order asks for) with source, text and occurrences.
+
+    Texts are read here for the first time: the k places, which the driver knows by now, prune the scan of the lines.
+    """
+    fields = best.schema
+    rows = best.collect()
+    listed = lambda df, **wanted: df.where(" and ".join(f"{c} in ({', '.join(map(str, sorted(set(v))))})" for c, v in wanted.items())) if 0 < len(rows) <= LISTED else df.limit(len(rows)) if not rows else df
+    lines = listed(index.lines, source_index=[r["source_index"] for r in rows], line_number=[r["line_number"] for r in rows])
+    lines = lines.select(F.col("source_index").alias("l_s"), F.col("line_number").alias("l_n"), "source", "array_element", F.col("text").alias("l_text"))
+    t = listed(index.templates, distinct_id=[r["distinct_id"] for r in rows]).select(F.col("distinct_id").alias("t_id"), F.col("text").alias("t_text"), "occurrences")
+    top = F.broadcast(index.spark.createDataFrame(rows, fields))
+    full = top.join(lines, (F.col("source_index") == F.col("l_s")) & (F.col("line_number") == F.col("l_n"))).join(t, F.col("distinct_id") == F.col("t_id"))
+    text = F.col("t_text") if group else F.coalesce("l_text", "t_text")  # an index may keep the templates' texts alone
+    return ranking.ranked(full, order).select(
+        "rank", "source", F.when(F.col("array_element"), "element").otherwise("line").alias("kind"), F.col("line_number").alias("line"), F.col("score").cast("float").alias("score"), text.alias("text"), "occurrences",
         F.lit(mode).alias("mode"), F.col("dense").cast("float").alias("dense"), F.col("lexical").cast("float").alias("lexical"),
     ).orderBy("rank")
 
 
+def _firsts(index: Index) -> DataFrame:
+    """Each template with the place of its first line, which is where a group stands."""
+    return index.templates.select("distinct_id", F.col("first_source_index").alias("source_index"), F.col("first_line_number").alias("line_number"), "occurrences")
+
+
+def _of_templates(index: Index, best: DataFrame) -> DataFrame:
+    """The lines, without their texts, of templates (d_id, score, dense)."""
+    return _rankable(index).select(*KEY, "distinct_id").join(best, F.col("distinct_id") == F.col("d_id")).drop("d_id")
+
+
 def dense_matches(index: Index, vector: list[float], k: int, group: bool) -> DataFrame:
     """Templates are scored and, with group, ranked by themselves: a scan of lines isn't needed for that.
 
     Without group the lines of the best templates are ranked: a line's score is its template's, so the k best lines lie in
     the k best templates by score and first place, and only those are joined.
     """
-    first = index.templates.select(F.col("distinct_id").alias("f_id"), "first_source_index", "first_line_number")
-    scored = _dense(index, vector).join(first, F.col("d_id") == F.col("f_id"))
-    order = [F.isnan("dense").asc(), F.col("dense").cast("float").desc(), F.col("first_source_index"), F.col("first_line_number")]
-    best = F.broadcast(ranking.top_k(scored, k, order))
-    rows = _rankable(index).join(best, F.col("distinct_id") == F.col("d_id"))
-    if group:
-        rows = rows.where((F.col("source_index") == F.col("first_source_index")) & (F.col("line_number") == F.col("first_line_number")))
-    rows = rows.select(*KEY, "source", "array_element", "distinct_id", "text", F.col("dense").cast("float").alias("score"), "dense", F.lit(None).cast("double").alias("lexical"))
+    scored = _firsts(index).join(_dense(index, vector), F.col("distinct_id") == F.col("d_id")).withColumn("score", F.col("dense").cast("float"))
     by = ranking.rank_before()
-    return _publish(index, ranking.top_k(rows, k, by), by, "dense")
-
-
-def _first_lines(index: Index, best: DataFrame) -> DataFrame:
-    """Group rows take place and text of the template's first line."""
-    t = index.templates.select(F.col("distinct_id").alias("g_id"), "first_source_index", "first_line_number", F.col("text").alias("g_text"))
-    placed = best.join(t, F.col("distinct_id") == F.col("g_id")).select("distinct_id", "first_source_index", "first_line_number", "g_text", *[c for c in best.columns if c != "distinct_id"])
-    where = index.lines.select(F.col("source_index").alias("l_s"), F.col("line_number").alias("l_n"), "source", "array_element")
-    return placed, where
-
-
-def _grouped(index: Index, rows: DataFrame, k: int, order: list, keep: tuple[str, ...], substring: str | None) -> DataFrame:
-    best = ranking.best_of_group(rows, order, keep=keep)
-    placed, where = _first_lines(index, best)
-    placed = placed.withColumnRenamed("first_source_index", "source_index").withColumnRenamed("first_line_number", "line_number")
-    top = ranking.top_k(placed, k, ranking.rank_before(substring=substring))
-    joined = F.broadcast(top).join(where, (F.col("source_index") == F.col("l_s")) & (F.col("line_number") == F.col("l_n")))
-    return joined.withColumnRenamed("g_text", "text")
+    best = ranking.top_k(scored.select(*KEY, "distinct_id", "score", "dense", F.lit(None).cast("double").alias("lexical")), k, by)
+    if not group:
+        few = F.broadcast(best.select(F.col("distinct_id").alias("d_id"), "score", "dense", "lexical"))
+        best = ranking.top_k(_of_templates(index, few).select(*KEY, "distinct_id", "score", "dense", "lexical"), k, by)
+    return _publish(index, best, by, "dense", group)
 
 
 def lexical_matches(index: Index, query: Query, stats: bm25.Statistics, k: int, group: bool) -> DataFrame:
-    hits = bm25.score_postings(index.postings, stats).where("bm25 > 0")
-    rows = hits.join(_rankable(index).select(*KEY, "source", "array_element", "distinct_id", "text"), KEY)
-    rows = rows.withColumn("score", F.col("bm25").cast("float")).withColumn("lexical", F.col("bm25")).withColumn("dense", F.lit(None).cast("double")).withColumn("substring", F.coalesce(contains_exact(F.col("text"), query.stripped), F.lit(False)))
+    """The postings name each hit's template, so lines are read for one thing only: which of them hold the query as it is."""
+    hits = bm25.score_postings(index.postings, stats, keep=("distinct_id",)).where("bm25 > 0")
+    holds = _rankable(index).where(contains_exact(F.coalesce("text", F.lit("")), query.stripped)).select(F.col("source_index").alias("h_s"), F.col("line_number").alias("h_n"))
+    rows = hits.join(holds, (F.col("source_index") == F.col("h_s")) & (F.col("line_number") == F.col("h_n")), "left")
+    rows = rows.select(*KEY, "distinct_id", F.col("bm25").cast("float").alias("score"), F.lit(None).cast("double").alias("dense"), F.col("bm25").alias("lexical"), F.col("h_s").isNotNull().alias("substring"))
     by = ranking.rank_before(substring="substring")
     if group:
         order = [(~F.col("substring"), False), (F.col("score"), True), (F.col("source_index"), False), (F.col("line_number"), False)]
-        return _publish(index, _grouped(index, rows, k, order, ("score", "dense", "lexical", "substring"), "substring"), by, "lexical")
-    return _publish(index, ranking.top_k(rows, k, by), by, "lexical")
+        found = ranking.best_of_group(rows, order, keep=("score", "dense", "lexical", "substring"))
+        rows = found.join(_firsts(index), "distinct_id").select(*KEY, "distinct_id", "score", "dense", "lexical", "substring")
+    return _publish(index, ranking.top_k(rows, k, by), by, "lexical", group)
+
+
+def _hybrid_parts(index: Index, query: Query, vector: list[float], stats: bm25.Statistics):
+    """(templates with their dense score, hits with theirs, the fused score as a function of (dense, bm25, coverage)).
+
+    Lines without a hit have their template's score and no lexical one, so means and deviations come from the templates, each
+    counted as often as it occurs, and from the hits: lines are not read.
+    """
+    templates = _firsts(index).join(_dense(index, vector), F.col("distinct_id") == F.col("d_id")).drop("d_id")
+    hits = bm25.score_postings(index.postings, stats, keep=("distinct_id",))
+    d = fusion.weighted_moments(templates, "dense", "occurrences")
+    b = fusion.moments_with_zeros(hits, "bm25", index.stats["kept"])
+    counts = fusion.coverage_counts(query.query_class)
+    score = lambda dense, lexical, share: fusion.fused(dense, lexical, share if counts else F.lit(1.0), d, b)
+    of = templates.select(F.col("distinct_id").alias("d_id"), "dense")
+    scored = hits.join(of, F.col("distinct_id") == F.col("d_id")).select(*KEY, "distinct_id", score(F.col("dense"), F.col("bm25"), F.col("coverage")).alias("score"), "dense", F.col("bm25").alias("lexical"))
+    return templates.withColumn("score", score(F.col("dense"), F.lit(0.0), F.lit(0.0))), scored
 
 
 def hybrid_scores(index: Index, query: Query, vector: list[float], stats: bm25.Statistics) -> DataFrame:
-    """All rankable lines with score, dense and lexical. Means and deviations are one aggregate job over lines without their text."""
-    lines = _rankable(index).select(*KEY, "source", "array_element", "distinct_id", "text")
-    hits = bm25.score_postings(index.postings, stats)
-    scored = lines.join(_dense(index, vector), F.col("distinct_id") == F.col("d_id")).join(hits, KEY, "left").withColumn("lexical", F.coalesce("bm25", F.lit(0.0)))
-    d, b = fusion.moments(scored, "dense", "lexical")
-    share = F.coalesce("coverage", F.lit(0.0)) if fusion.coverage_counts(query.query_class) else F.lit(1.0)
-    return scored.withColumn("score", fusion.fused(F.col("dense"), F.col("lexical"), share, d, b))
+    """All rankable lines with score, dense and lexical."""
+    templates, hits = _hybrid_parts(index, query, vector, stats)
+    base = templates.select(F.col("distinct_id").alias("d_id"), F.col("score").alias("t_score"), "dense")
+    own = hits.select(F.col("source_index").alias("h_s"), F.col("line_number").alias("h_n"), F.col("score").alias("h_score"), "lexical")
+    rows = _of_templates(index, base).join(own, (F.col("source_index") == F.col("h_s")) & (F.col("line_number") == F.col("h_n")), "left")
+    return rows.select(*KEY, "distinct_id", F.coalesce("h_score", "t_score").alias("score"), "dense", F.coalesce("lexical", F.lit(0.0)).alias("lexical"))
 
 
 def hybrid_matches(index: Index, query: Query, vector: list[float], stats: bm25.Statistics, k: int, group: bool) -> DataFrame:
-    rows = hybrid_scores(index, query, vector, stats)
+    """The best hits, and the best lines without a hit. The latter lie in templates that have such lines and whose score is no
+    less than the k-th best of those: the lines of these templates alone are looked at.
+    """
+    templates, hits = _hybrid_parts(index, query, vector, stats)
     by = ranking.rank_before()
+    columns = (*KEY, "distinct_id", "score", "dense", "lexical")
+    hit = hits.groupBy(F.col("distinct_id").alias("n_id")).agg(F.count("*").alias("hits"))
+    free = templates.join(hit, F.col("distinct_id") == F.col("n_id"), "left").where(F.col("occurrences") > F.coalesce("hits", F.lit(0))).withColumn("lexical", F.lit(0.0))
     if group:
         order = [(F.isnan("score"), False), (F.col("score"), True), (F.col("source_index"), False), (F.col("line_number"), False)]
-        return _publish(index, _grouped(index, rows, k, order, ("score", "dense", "lexical"), None), by, "hybrid")
-    return _publish(index, ranking.top_k(rows, k, by), by, "hybrid")
+        found = ranking.best_of_group(hits.select(*columns).unionByName(free.select(*columns)), order)
+        rows = found.join(_firsts(index), "distinct_id").select(*columns)
+        return _publish(index, ranking.top_k(rows, k, by), by, "hybrid", True)
+    edge = ranking.top_k(free.select("score", *KEY), k, by).select("score").collect()
+    worst = edge[-1]["score"] if len(edge) == k else None
+    few = free if worst is None else free.where(F.isnan("score") | (F.col("score") >= F.lit(worst))) if worst == worst else free
+    few = few.select(F.col("distinct_id").alias("d_id"), "score", "dense", "lexical")
+    mine = hits.select(F.col("source_index").alias("h_s"), F.col("line_number").alias("h_n"))
+    others = _of_templates(index, few).join(mine, (F.col("source_index") == F.col("h_s")) & (F.col("line_number") == F.col("h_n")), "left_anti")
+    rows = ranking.top_k(hits.select(*columns), k, by).unionByName(ranking.top_k(others.select(*columns), k, by))
+    return _publish(index, ranking.top_k(rows, k, by), by, "hybrid", False)
 
 
 def search(index: Index, text: str, embedder: Embedder, k: int = 5, mode: str = "auto", group: bool = False, count_skipped: bool = True, check: bool = True) -> Result:
@@ -142,11 +177,15 @@ def search(index: Index, text: str, embedder: Embedder, k: int = 5, mode: str =
     if report.mode == "lexical":
         found = lexical_matches(index, query, stats, k, group)
     else:
+        asked = time.perf_counter()
         vector = embedder.query(text)
+        report.seconds["query-embed"] = time.perf_counter() - asked
         if str(len(vector)) != index.policy.get("dimensions"):
             raise EngineError("search", "mismatched_dimensions")
         found = dense_matches(index, vector, k, group) if report.mode == "dense" else hybrid_matches(index, query, vector, stats, k, group)
-    report.seconds["plan"] = time.perf_counter() - began
+    report.seconds |= index.seconds
+    report.seconds["rank"] = time.perf_counter() - began - report.seconds.get("query-embed", 0.0)
+    report.peak_mb = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
     return Result(found, report)
 
 

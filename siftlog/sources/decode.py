@@ -77,8 +77,13 @@ def raw_lines(data: bytes) -> Iterator[tuple[int, bytes]]:
         at = end + 1
 
 
-def lines(source: str, data: bytes) -> Iterator[Record]:
-    for n, (at, raw) in enumerate(raw_lines(data), 1):
+def numbered(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    return ((n, at, raw) for n, (at, raw) in enumerate(raw_lines(data), 1))
+
+
+def lines(source: str, found: Iterator[tuple[int, int, bytes]]) -> Iterator[Record]:
+    """Records of (line number, offset, bytes without the line feed)."""
+    for n, at, raw in found:
         raw = raw[:-1] if raw.endswith(b"\r") else raw
         if BLANK.match(raw):
             yield Record(source, n, at, len(raw), False, None, "empty")
@@ -86,8 +91,8 @@ def lines(source: str, data: bytes) -> Iterator[Record]:
             yield _keep(source, n, at, len(raw), False, raw.decode("utf-8", "replace"))
 
 
-def json_lines(source: str, data: bytes, name: str) -> Iterator[Record]:
-    for n, (at, raw) in enumerate(raw_lines(data), 1):
+def json_lines(source: str, found: Iterator[tuple[int, int, bytes]], name: str) -> Iterator[Record]:
+    for n, at, raw in found:
         raw = raw[:-1] if raw.endswith(b"\r") else raw
         text, reason = None, "empty"
         if not BLANK.match(raw):
@@ -98,6 +103,21 @@ def json_lines(source: str, data: bytes, name: str) -> Iterator[Record]:
         yield Record(source, n, at, len(raw), False, None, reason) if text is None else _keep(source, n, at, len(raw), False, text)
 
 
+def of_kind(kind: str, source: str, found: Iterator[tuple[int, int, bytes]], name: str) -> Iterator[Record]:
+    return json_lines(source, found, name) if kind == "jsonl" else lines(source, found)
+
+
+def lines_from(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, line) of the lines that begin in [start, end) of an open file, one at a time."""
+    at = start
+    if start:
+        f.seek(start - 1)
+        at += len(f.readline()) - 1
+    while at < end and (raw := f.readline()):
+        yield at, raw[:-1] if raw.endswith(b"\n") else raw
+        at += len(raw)
+
+
 def json_document(source: str, data: bytes, name: str) -> Iterator[Record]:
     """An object is line 1; an array's elements count from 1, skipped ones too; an invalid document is one malformed record."""
     try:
@@ -140,7 +160,7 @@ def gunzip(data: bytes, path: str, limit: int | None = None) -> bytes:
 
 def text_records(source: str, name: str, data: bytes, field: str) -> Iterator[Record]:
     kind = kind_of(name)
-    return json_document(source, data, field) if kind == "json" else json_lines(source, data, field) if kind == "jsonl" else lines(source, data)
+    return json_document(source, data, field) if kind == "json" else of_kind(kind, source, numbered(data), field)
 
 
 def label(name: str) -> str:
@@ -226,6 +246,14 @@ def archive(path: str, data: bytes, field: str, limits: Limits, skipped: dict[st
         yield from text_records(f"{path}:{member}", member, content, field)
 
 
+def probe(path: str, head: bytes) -> None:
+    """Refuse a file by its first bytes."""
+    if openpgp(head):
+        raise EngineError("parse", "encrypted_archive", path)
+    if binary(head):
+        raise EngineError("parse", "binary_file", path)
+
+
 def records(path: str, data: bytes, field: str = "message", limits: Limits | None = None, skipped: dict[str, int] | None = None) -> Iterator[Record]:
     """All records of one file. skipped counts an archive's entries that gave none."""
     skipped = {} if skipped is None else skipped

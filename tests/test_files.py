@@ -14,7 +14,7 @@ from siftlog.plans.index import Index, build, check_lexical, check_policy, polic
 from siftlog.plans.search import LogSearch, search
 from siftlog.sources.decode import Limits, read_record, records
 from siftlog.sources.expand import expand, kind_of
-from siftlog.sources.scan import scan, scan_text
+from siftlog.sources.scan import scan
 
 
 def shown(rs):
@@ -141,16 +141,47 @@ def test_scan_through_spark(spark, tmp_path):
     assert [r.text for r in scan(spark, f"file://{tmp_path}/a.log").orderBy("line_number").collect()] == ["x", "y"]
 
 
-def test_scan_text_splits_files(spark, tmp_path):
-    n = 5000
-    (tmp_path / "big.log").write_text("".join(f"line {i}\r\n" for i in range(1, n + 1)))
+def test_scan_splits_files(spark, tmp_path):
+    """A file in ranges and through Spark's reader in blocks: the records of the file as a whole, with their places."""
+    n = 3000
+    raw = "".join(f"line {i}\r\n" if i % 7 else "\n" for i in range(1, n + 1)).encode() + b"caf\xc3\xa9 \xff last"
+    (tmp_path / "big.log").write_bytes(raw)
+    (tmp_path / "big.jsonl").write_text("".join('{"message": "m%d"}\n' % i if i % 5 else "{\n" for i in range(n)))
+    (tmp_path / "empty.log").write_text("")
+    paths = [str(tmp_path / x) for x in ("big.log", "empty.log", "big.jsonl")]
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    plain = lambda x: [tuple("" if c is None else c for c in r) for r in x]
     try:
-        rows = scan_text(spark, str(tmp_path / "big.log"))
-        got = {r.line_number: r.text for r in rows.collect()}
+        whole = sorted(plain(tuple(r)[2:] for r in scan(spark, *paths).collect()))
+        assert len(whole) == 2 * n + 1 and whole[-1] != whole[0]
+        for size in (1000, 4096):
+            assert sorted(plain(tuple(r)[2:] for r in scan(spark, *paths, range_bytes=size).collect())) == whole
+        stored = scan(spark, *[f"file://{p}" for p in paths])
+        assert stored.rdd.getNumPartitions() > 2
+        assert sorted(plain(tuple(r)[2:] for r in stored.collect())) == whole
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert got == {i: f"line {i}" for i in range(1, n + 1)}
+    tiny = tmp_path / "tiny.log"
+    tiny.write_text("a\n\nbb\nccc")
+    for size in (1, 2, 3, 4):
+        got = [(r.line_number, r.byte_offset, r.text) for r in scan(spark, str(tiny), range_bytes=size).orderBy("line_number").collect()]
+        assert got == [(1, 0, "a"), (2, 2, None), (3, 3, "bb"), (4, 6, "ccc")]
+
+
+def test_store_folders_and_probes(spark, tmp_path):
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "d" / "b.log").write_text("two\n")
+    (tmp_path / "d" / "e" / "a.json").write_text('[{"message": "one"}]')
+    with gzip.open(tmp_path / "d" / "c.log.gz", "wt") as f:
+        f.write("three\n")
+    got = [(r.source_index, r.source.rsplit("/", 1)[1], r.text) for r in scan(spark, f"file://{tmp_path}/d").orderBy("source_index").collect()]
+    assert got == [(0, "b.log", "two"), (1, "c.log.gz", "three"), (2, "a.json", "one")]
+    (tmp_path / "bin.log").write_bytes(b"x\n" * 100 + b"\0\n")
+    for path in (str(tmp_path / "bin.log"), f"file://{tmp_path}/bin.log"):
+        with pytest.raises(Exception, match="binary"):
+            scan(spark, path).collect()
+    with pytest.raises(EngineError):
+        scan(spark, f"file://{tmp_path}/none.log")
 
 
 BLOCKS = "PacketResponder 1 for block blk_38865049064139660 terminating\nPacketResponder 0 for block blk_-6952295868487656571 terminating\n\nsunny beach vacation\n"

@@ -1,8 +1,11 @@
 import pytest
 from conftest import SF, same_rows
 
+from siftlog.plans import file_queries
 from siftlog.plans.queries import QUERIES, SQL, entry
 
+assert file_queries.QUERIES is QUERIES
+
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):

@@ -12,11 +12,12 @@ HOT = 4096
 SALTS = 1024
 
 
-def heaviest(side: DataFrame, key: str, weight: str, most: int = HOT) -> DataFrame:
+def heaviest(side: DataFrame, key: str, weight: str, most: int | None = None) -> DataFrame:
+    most = HOT if most is None else most
     return side.orderBy(F.desc(weight), key).limit(most)
 
 
-def look_up(rows: DataFrame, key: str, side: DataFrame, side_key: str, weight: str, spread: Column, most: int = HOT) -> DataFrame:
+def look_up(rows: DataFrame, key: str, side: DataFrame, side_key: str, weight: str, spread: Column, most: int | None = None) -> DataFrame:
     """rows with side's other columns, null where side lacks the key. side is read twice.
 
     The rows of the `most` heaviest keys get theirs from a broadcast; in the shuffle that serves the others they are dealt out by

@@ -248,6 +248,15 @@ def test_short_recordings_align(spark):
     assert got[98].n_items == got[99].n_items == 0 and got[98].class_id == 98
 
 
+def test_classes_of_documents_equal_all_pairs(spark, docs):
+    """The query's classes against all pairs of recordings at all offsets, with the fingerprints that it gives."""
+    settings = chroma.Settings(rate=11025, frame=256, hop=32, low=300.0, high=3520.0)
+    prints = {r.doc_id: np.frombuffer(r["items"], "<u4") for r in chroma.fingerprints(docs, F.col("text").cast("binary"), settings).collect()}
+    got = {r.doc_id: r for r in queries.op1_chroma(spark, SF).collect()}
+    assert all(got[d].fingerprint_sha256 == hashlib.sha256(x.tobytes()).hexdigest() for d, x in prints.items())
+    assert {d: r.class_id for d, r in got.items()} == brute_classes(prints)
+
+
 def test_documents_have_fingerprints(spark, docs):
     assert queries.op1_chroma(spark, SF).where("n_items = 0").count() == docs.where("coalesce(text, '') = ''").count()
 
@@ -266,6 +275,12 @@ def test_mixing_of_odd_rows_equals_sql(spark, odd):
     same_rows(mixing.mix(odd).select("doc_id", "size", "source_size", "target", "taken"), con.sql(mixing.RESULT_SQL))
 
 
+def test_mixing_without_broadcasts(spark, docs, odd):
+    for df in (docs, odd):
+        a, b = (sorted(map(tuple, mixing.mix(df, broadcast_sources=n).collect()), key=repr) for n in (0, 100))
+        assert a == b
+
+
 def test_mixing_targets(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 40)), None, "hot" if i % 3 else f"s{i % 7}") for i in range(3000)]
@@ -349,6 +364,18 @@ def test_rindex_equals_brute_force(docs, crowd, hot):
     assert got == want and sum(w[1] for w in want.values()) > 0
 
 
+def test_anchors_do_not_depend_on_the_slice():
+    rng = np.random.default_rng(41)
+    text = rng.integers(97, 99, 600, dtype=np.uint8)
+    alone = rindex.passages(text, np.array([0, 600]))
+    for before in (10, 5000, 300_000):
+        other = rng.integers(97, 101, before, dtype=np.uint8)
+        data = np.concatenate([other, text, other])
+        found = rindex.passages(data, np.cumsum([0, before, 600, before]))
+        mine = found[0] == 1
+        assert all(np.array_equal(a, b[mine]) for a, b in zip(alone[1:], found[1:])), before
+
+
 def test_rindex_small_alphabet_and_order(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(10**6), "".join(rng.choice("ab") for _ in range(rng.randrange(400))), None, None) for _ in range(60)] + [(-5, "é" * 130, None, None), (10**7, "x" + "é" * 130, None, None), (10**7 + 1, "z" * 400, None, None)]
@@ -716,6 +743,45 @@ def test_propagation(spark):
     same_rows(got, con.sql(linkgraph.oracle(queries.RULES)))
 
 
+def test_hubs_equal_sql(spark, monkeypatch):
+    """A generated graph: one host with a third of the pages and of the links, chains, farms of both kinds; rules as a table."""
+    import duckdb
+
+    from siftlog.llm import lookup
+
+    rng = random.Random(51)
+    hosts = [f"h{i}.{rng.choice(['com', 'net', 'org', 'info'])}" for i in range(120)] + ["www.example.com", "a.b.example.com", "farm.info"]
+    pick = lambda: "hub.org" if rng.random() < 1 / 3 else rng.choice(hosts)
+    rows = []
+    for i in range(1500):
+        own = pick()
+        links = "".join(f'<a href="http://{pick()}/p{rng.randrange(9)}">' for _ in range(rng.randrange(4)))
+        rows.append((i, f"http://{own}/{rng.choice(['en', 'es', 'fr', 'de'])}/{i}", links))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [*queries.RULES, ("block", "farm.info"), ("allow", "b.example.com/en/1"), ("block", "h1.org/d"), ("allow", "h2.info/")]
+    con = duckdb.connect()
+    con.register("pages", pages.toArrow())
+    want = con.sql(linkgraph.oracle(rules))
+    got = linkgraph.judge_urls(pages, spark.createDataFrame(rules, "verdict string, rule string"))
+    same_rows(got, want)
+    verdicts = Counter(r.verdict for r in got.where("rule is null").collect())
+    assert min(verdicts["allow"], verdicts["block"]) > 20  # the propagation decides some of either kind
+    monkeypatch.setattr(lookup, "HOT", 2)
+    same_rows(linkgraph.judge_urls(pages.repartition(7), rules), want)
+
+
+def test_look_up(spark):
+    from siftlog.llm.lookup import look_up
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 30}") for i in range(300)] + [(301, None), (302, "none")], "id long, key string").withColumn("salt", F.lit(7))
+    side = spark.createDataFrame([("hot", 200, "H", None), *[(f"k{i}", 1, f"v{i}", i) for i in range(0, 30, 3)]], "k string, n long, v string, w long")
+    want = sorted((r.id, r.salt, "H" if r.key == "hot" else None if r.key in (None, "none") else "v" + r.key[1:]) for r in rows.collect())
+    for most in (0, 1, 5, 100):
+        got = look_up(rows, "key", side, "k", "n", F.col("id"), most)
+        assert got.columns == ["id", "key", "salt", "n", "v", "w"]
+        assert sorted((r.id, r.salt, r.v) for r in got.collect()) == want
+
+
 def test_longest_rule_wins(spark):
     urls = ["http://www.example.com/en/1", "http://a.example.com/en/1", "http://example.com/fr/1", "http://example.com/en", "http://xexample.com/en/", "http://b.net/es/", "http://notcom/", "ftp://Q.NET/fr/x?y"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("html", F.lit(""))
@@ -765,6 +831,23 @@ def test_shuffled_reads(spark, docs, tmp_path):
     assert got == {d: [*lib.encode(t or "", add_special_tokens=False).ids, 2] for d, t in pairs(docs) if d % 3 == 1}
 
 
+def test_small_shards(spark, docs, tmp_path):
+    """A low bound on shards: many of them, none larger but of a single record, in ascending order, with ids that repeat."""
+    both = docs.unionByName(docs.where("doc_id % 10 = 0")).repartition(5)
+    records.write_records(both, f"{tmp_path}/r", WORDS, end_id=2, shard_bytes=4000)
+    found = sorted(records.scan_records(spark, f"{tmp_path}/r").collect(), key=lambda r: r.start)
+    lib, start = library(), 0
+    texts = dict(pairs(docs))
+    assert [r.doc_id for r in found] == sorted(d for d in texts for _ in range(2 if d % 10 == 0 else 1))
+    for r in found:
+        ids = [*lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+    of_shard = Counter(r.shard for r in found)
+    sizes = {os.path.join(os.path.basename(d), f): os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(f"{tmp_path}/r") for f in names if f.startswith("part-")}
+    assert len(of_shard) > 10 and all(size <= 4000 or of_shard[name] == 1 for name, size in sizes.items())
+
+
 # 9. Grace hash.
 def test_exact_equals_sql(spark, duck):
     same_rows(queries.op9_gracehash(spark, SF), duck.sql(queries.SQL["op9_gracehash"]))

@@ -144,3 +144,23 @@ def test_wordpiece(tmp_path):
     assert w.encode("日本") == [3, 8, 5, 4]
     assert w.encode("x" * 101) == [3, 5, 4]
     assert len(w.encode("hello " * 50)) == 8 and w.encode("hello " * 50)[-1] == 4
+
+
+def test_rank_of_many_rows(spark):
+    rows = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(50)).cast("float").alias("score"), F.col("id").alias("source_index"), F.lit(1).alias("line_number")).repartition(9)
+    order = ranking.rank_before()
+    got = {r.source_index: r["rank"] for r in ranking.ranked_all(rows, order).collect()}
+    want = sorted(rows.collect(), key=lambda r: (-r.score, r.source_index))
+    assert got == {r.source_index: i for i, r in enumerate(want, 1)}
+
+
+def test_moments_without_reading_all_rows(spark):
+    rows = spark.createDataFrame([(1.0, 3), (2.5, 1), (-4.0, 2)], "x double, n long")
+    m = fusion.weighted_moments(rows, "x", "n")
+    all_ = [1.0, 1.0, 1.0, 2.5, -4.0, -4.0]
+    mean = sum(all_) / 6
+    assert m.mean == pytest.approx(mean) and m.deviation == pytest.approx((sum((x - mean) ** 2 for x in all_) / 6) ** 0.5)
+    z = fusion.moments_with_zeros(rows, "x", 10)
+    mean = -0.05
+    assert z.mean == pytest.approx(mean) and z.deviation == pytest.approx(((sum((x - mean) ** 2 for x in (1.0, 2.5, -4.0)) + 7 * mean**2) / 10) ** 0.5)
+    assert fusion.moments_with_zeros(rows.limit(0), "x", 10) == fusion.weighted_moments(rows.limit(0), "x", "n") == fusion.Moments(0.0, 0.0)

@@ -87,3 +87,27 @@ def test_sql_functions(spark):
     T.register(spark)
     r = spark.sql("SELECT mask_template('took 15 ms') m, lexical_terms('fooBar') t, is_identifier('ERR-5001') i, dot(array(1D, 2D), array(3D, 4D)) d").first()
     assert (r.m, r.t, r.i, r.d) == ("took <*> ms", ["foo", "bar"], True, 11.0)
+
+
+def test_code_points_that_mark_matches(spark):
+    """Texts with the code points that the mask puts around matches keep them."""
+    rows = ["a\ufdd0b 12", "ab 12", "\ufdd1 /usr/bin \ufdd2\ufdd3 7", "\ufdd0\ufdd1 3", "x\ufdd2 44"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    want = [r.replace("12", "<*>").replace("44", "<*>").replace(" 7", " <*>").replace(" 3", " <*>") for r in rows]
+    assert [r[0] for r in df.select(T.mask_template(F.col("t"))).collect()] == want
+    T.register(spark)
+    df.createOrReplaceTempView("marked")
+    assert [r[0] for r in spark.sql("SELECT mask_template(t) FROM marked").collect()] == want
+
+
+def test_sql_functions_say_the_same(spark):
+    T.register(spark)
+    queries = ["", "error 404", '"12345"', "10.0.0.1", "deadbeef1", "ERR-5001\n", "plain words", "[::1]:80", '"two words"', "1234\n5678"]
+    df = spark.createDataFrame([(q,) for q in queries], "q string")
+    df.createOrReplaceTempView("asked")
+    same = df.select(T.query_class(F.col("q")), T.is_identifier(F.col("q"))).collect()
+    assert [tuple(r) for r in spark.sql("SELECT query_class(q), is_identifier(q) FROM asked").collect()] == [tuple(r) for r in same]
+    assert spark.sql("SELECT dot(array(1D, 2D), array(3D, 4D)) AS d").first().d == 11.0
+    assert spark.sql("SELECT dot(NULL, array(3D)) AS d").first().d is None
+    with pytest.raises(Exception, match="same width"):
+        spark.sql("SELECT dot(array(1D), array(3D, 4D)) AS d").collect()

@@ -288,7 +288,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     # Buckets with several nodes, and the least node of each as its star.
     # A set of n has at most n / (n + 1) with any other one.
     buckets = _buckets(classes.where(F.col("n") * den >= num * (F.col("n") + 1)))
-    stars = buckets.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("star")).where("size > 1")
+    # A table by itself, so that the join back can deal a common bucket to several tasks.
+    stars = written(buckets.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("star")).where("size > 1"), "near-stars")
     s = stars.select(F.col("band").alias("s_band"), F.col("key").alias("s_key"), "size", "star")
     members = written(buckets.join(s, (F.col("band") == F.col("s_band")) & (F.col("key") == F.col("s_key"))).select("band", "key", "size", "star", "node"), "near-buckets")
 
@@ -326,7 +327,7 @@ def _rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, links:
     """Verified links within buckets that hold several components after the stars."""
     roots = components(links)
     m = members.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("band", "key", "size", "node", F.coalesce("root", "node").alias("root"))
-    mixed = m.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("band").alias("x_band"), F.col("key").alias("x_key"))
+    mixed = written(m.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("band").alias("x_band"), F.col("key").alias("x_key")), "near-mixed")
     rows = m.join(mixed, (F.col("band") == F.col("x_band")) & (F.col("key") == F.col("x_key"))).drop("x_band", "x_key")
     rows = rows.join(classes.select(F.col("node").alias("c"), "n", "sketch"), F.col("node") == F.col("c")).drop("c")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")

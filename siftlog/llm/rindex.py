@@ -394,8 +394,10 @@ def remove_repeats(docs: DataFrame, length: int = L, k: int = K, id_col: str = "
         rows = rows.withColumn("sub", F.lit(0).cast("long"))  # ids alone tell rows apart
     texts = rows.select("ord", "sub", "data")
     known = texts.mapInArrow(_anchors(length, k, False), "anchor long, ord long").groupBy("anchor").agg(F.count("*").alias("n"), F.min("ord").alias("route")).where("n > 1").select(F.col("anchor").alias("twice"), "route")
+    known = kept = written(known, "rindex-anchors")  # by itself, so that the join can deal a common anchor to several tasks
     places = texts.mapInArrow(_anchors(length, k, True), "anchor long, ord long, sub long, at long")
     held = places = written(places.join(known.hint("shuffle_hash"), F.col("anchor") == F.col("twice")).select("anchor", "route", "ord", "sub", "at"), "rindex-places")
+    dropped(kept)
     load = places.groupBy("route").agg(F.sum(F.col("at").bitwiseAND(F.lit(255))).alias("bytes")).where(F.col("bytes") > crowd_bytes).select(F.col("route").alias("r"))
     places = places.join(load, F.col("route") == F.col("r"), "left").select("ord", "sub", F.struct("anchor", "route", "at", F.col("r").isNotNull().alias("crowded")).alias("x"))
     of_text = places.groupBy(F.col("ord").alias("o"), F.col("sub").alias("s")).agg(F.collect_set("x").alias("found"))  # less than one for each byte of a text

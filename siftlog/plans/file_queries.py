@@ -19,7 +19,7 @@ from siftlog.functions.query import Query, tokens
 from siftlog.plans.index import Index, build, check_policy, policy, write
 from siftlog.plans.queries import DOC_LINES, EMBEDDER, EVENT_TEXT, QUERIES, ROUTED, _bm25_sql, _lines, _terms, document_lines, event_lines, query, table
 from siftlog.plans.search import search
-from siftlog.session import drop_path, new_path, ship
+from siftlog.session import drop_path, new_path, ship, written
 from siftlog.sources.decode import Limits
 from siftlog.sources.expand import expand, fingerprints, qualified, stale
 from siftlog.sources.scan import records_of, scan
@@ -235,6 +235,23 @@ def i2_policy_checks(spark, sf_dir):
     return spark.createDataFrame(rows, "index string, outcome string")
 
 
+@query("SELECT * FROM (VALUES ('whole', 'as built'), ('with a row more', 'corpus_read: corrupt_file')) v(index, outcome)")
+def i9_verify(spark, sf_dir):
+    """An index is read against its sums, as it was built and with a row that was added afterwards."""
+    path, rows = new_path(spark, "corpus"), []
+    write(event_lines(spark, sf_dir), EMBEDDER, path, sums=True)
+    for name in ("whole", "with a row more"):
+        if name != "whole":
+            extra = spark.read.parquet(f"{path}/postings").limit(1).withColumn("term", F.lit("added"))
+            written(extra, "extra").write.mode("append").parquet(f"{path}/postings")
+        try:
+            Index.open(spark, path).verify()
+            rows.append((name, "as built"))
+        except EngineError as e:
+            rows.append((name, f"{e.kind}: {e.cause}"))
+    return spark.createDataFrame(rows, "index string, outcome string")
+
+
 @query(f"""SELECT part, CASE WHEN part = 0 THEN 'missing' WHEN part = 1 THEN 'changed' END AS state FROM (SELECT DISTINCT event_id // {PER_FILE} AS part FROM events)""")
 def i5_stale_sources(spark, sf_dir):
     """Of files that were indexed one is deleted and one written anew."""

@@ -67,6 +67,15 @@ class Index:
     def stale(self) -> list[tuple[str, str]]:
         return stale([(r["path"], r["size"], r["modified_ns"], r["tracked"]) for r in self.tables["sources"].collect()])
 
+    def verify(self) -> None:
+        """Read every table and compare it with the sums that were taken when it was built; an index without sums passes."""
+        path = f"{self.path}/sums"
+        if not _exists(self.spark, path):
+            return
+        found = {r["name"]: (r["rows"], r["sum"]) for r in self.spark.read.parquet(path).collect()}
+        if found != {t: checksum(self.tables[t]) for t in SUMMED}:
+            raise EngineError("corpus_read", "corrupt_file", self.path)
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
         """A folder without a policy isn't a corpus: the policy is written last."""
@@ -83,16 +92,26 @@ class Index:
         return out
 
 
+#: Tables whose content has sums.
+SUMMED = ("lines", "templates", "vectors", "postings")
+
+
+def checksum(table: DataFrame) -> tuple[int, int]:
+    """Rows, and a sum of their hashes that doesn't depend on their order."""
+    return tuple(table.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*table.columns)), F.lit(0))).first())
+
+
 def prepare(records: DataFrame) -> DataFrame:
     """Records with template, terms and their number: what all other tables are made of. One pass over the text."""
     return bm25.with_terms(dedup.with_template(records))
 
 
-def write(records: DataFrame, embedder: Embedder, path: str, sources: list[tuple[int, str, int, int, bool]] = (), keep_text: bool = True, by_term: bool = True) -> Index:
+def write(records: DataFrame, embedder: Embedder, path: str, sources: list[tuple[int, str, int, int, bool]] = (), keep_text: bool = True, by_term: bool = True, sums: bool = False) -> Index:
     """Write all tables below path. The lines are worked out once; templates, postings and totals are read from what was written.
 
     Templates are embedded, not lines. Postings are ordered by term, so that a query's terms prune row groups, unless by_term
-    is false, as for an index that is searched once. Skipped records stay as lines without a template.
+    is false, as for an index that is searched once. Skipped records stay as lines without a template. With sums the tables
+    are read once more, for verify().
     """
     spark, at = records.sparkSession, [time.perf_counter()]
     prepare(records).select("source_index", "source", "line_number", "array_element", "distinct_id", "mask_key", "text" if keep_text else F.lit(None).cast("string").alias("text"), "terms", "dl", "skip_reason", "truncated").write.parquet(f"{path}/lines")
@@ -112,6 +131,8 @@ def write(records: DataFrame, embedder: Embedder, path: str, sources: list[tuple
     totals = lines.agg(F.count("*").alias("lines"), F.count_if(kept).alias("kept"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
     totals.write.parquet(f"{path}/stats")
     spark.createDataFrame(list(sources), "source_index long, path string, size long, modified_ns long, tracked boolean").coalesce(1).write.parquet(f"{path}/sources")
+    if sums:
+        spark.createDataFrame([(t, *checksum(spark.read.parquet(f"{path}/{t}"))) for t in SUMMED], "name string, rows long, sum long").coalesce(1).write.parquet(f"{path}/sums")
     spark.createDataFrame(list(policy(embedder).items()), "key string, value string").coalesce(1).write.parquet(f"{path}/policy")
     at.append(time.perf_counter())
     out = Index.open(spark, path)
@@ -130,7 +151,7 @@ def build(spark: SparkSession, paths: list[str], output: str, embedder: Embedder
     temporary = f"{output}.tmp-{uuid.uuid4().hex}"
     fs, target, draft = _paths(spark, output, temporary)
     try:
-        index = write(records.where("line_number is not null"), embedder, temporary, before)
+        index = write(records.where("line_number is not null"), embedder, temporary, before, sums=True)
         counts = skip_counts(index.tables["lines"])
         report = Report(chunks=counts["kept"], empty=counts["empty"], malformed=counts["malformed"], missing_field=counts["missing_field"], truncated=counts["truncated"], json_field=json_field)
         if fingerprints(files) != before:
@@ -159,6 +180,11 @@ def same_place(a: str, b: str) -> bool:
     return os.path.exists(a) and os.path.exists(b) and os.path.samefile(a, b)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _paths(spark, path)
+    return fs.exists(p)
+
+
 def _paths(spark: SparkSession, *paths: str):
     jvm = spark.sparkContext._jvm
     out = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]

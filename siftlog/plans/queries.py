@@ -200,7 +200,7 @@ def f5_identifier_tokens(spark, sf_dir):
     return tokens.where(~F.col("token").rlike(r"^[0-9A-Fa-f.\[\]]*:[0-9A-Fa-f:.\[\]]*\z")).select("token", T.is_identifier(F.col("token")).alias("identifier"))
 
 
-ROUTED = ["blk_-1608999687919862906", "request failed for ERR-5001", "connection refused", '"10.0.0.1:8080"', "deadbee1", "/var/log/app", "user 1234 left", "", '"two words"', "0xdeadbeef", "12:34"]
+ROUTED = ["blk_-70000000000000013", "request failed for ERR-5001", "connection refused", '"10.0.0.1:8080"', "deadbee1", "/var/log/app", "user 1234 left", "", '"two words"', "0xdeadbeef", "12:34"]
 _ROUTED = ", ".join(f"({i}, '{q}')" for i, q in enumerate(ROUTED))
 
 

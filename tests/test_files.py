@@ -184,7 +184,7 @@ def test_store_folders_and_probes(spark, tmp_path):
         scan(spark, f"file://{tmp_path}/none.log")
 
 
-BLOCKS = "PacketResponder 1 for block blk_38865049064139660 terminating\nPacketResponder 0 for block blk_-6952295868487656571 terminating\n\nsunny beach vacation\n"
+BLOCKS = "worker 1 lets go of blk_70000000000000011 now\nworker 0 lets go of blk_-70000000000000012 now\n\nquiet garden evening\n"
 
 
 @pytest.fixture(scope="module")
@@ -198,22 +198,22 @@ def corpus(spark, tmp_path_factory):
 def test_index_and_search(spark, corpus):
     d, report = corpus
     assert (report.chunks, report.empty) == (3, 1)
-    got = LogSearch(spark, HashEmbedder()).search("blk_-6952295868487656571", str(d / "idx"))
+    got = LogSearch(spark, HashEmbedder()).search("blk_-70000000000000012", str(d / "idx"))
     rows = got.matches.collect()
     assert got.report.mode == "lexical" and rows[0].line == 2 and rows[0].dense is None and rows[0].lexical is not None
-    hybrid = search(Index.open(spark, str(d / "idx")), "beach vacation", HashEmbedder(), k=1).matches.collect()
+    hybrid = search(Index.open(spark, str(d / "idx")), "garden evening", HashEmbedder(), k=1).matches.collect()
     assert (hybrid[0].line, hybrid[0].rank, hybrid[0].mode) == (4, 1, "hybrid")
 
 
 def test_group_takes_the_first_line(spark, corpus):
     d, _ = corpus
-    rows = LogSearch(spark, HashEmbedder()).search("blk_-6952295868487656571", str(d / "idx"), group=True).matches.collect()
+    rows = LogSearch(spark, HashEmbedder()).search("blk_-70000000000000012", str(d / "idx"), group=True).matches.collect()
     assert [(r.line, r.occurrences) for r in rows] == [(1, 2)]
 
 
 def test_dense_has_no_lexical_and_k_counts(spark, corpus):
     d, _ = corpus
-    rows = LogSearch(spark, HashEmbedder()).search("beach", str(d / "idx"), mode="dense", k=2).matches.collect()
+    rows = LogSearch(spark, HashEmbedder()).search("garden", str(d / "idx"), mode="dense", k=2).matches.collect()
     assert len(rows) == 2 and rows[0].line == 4 and all(r.lexical is None for r in rows)
 
 
@@ -266,7 +266,7 @@ def test_index_refusals(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.log").write_text(BLOCKS)
     run = lambda *a: cli.run(cli.parser().parse_args([*map(str, a)]), spark, HashEmbedder())
-    assert run("grep", "beach", tmp_path / "a.log", "-k", 1, "--json") == 0
+    assert run("grep", "garden", tmp_path / "a.log", "-k", 1, "--json") == 0
     out = capsys.readouterr()
     row = json.loads(out.out)
     assert list(row) == ["schema_version", "rank", "source", "kind", "line", "score", "text", "occurrences", "mode", "dense", "lexical"] and row["line"] == 4

@@ -9,7 +9,7 @@ MASKS = [
     ("took 15 ms", "took <*> ms"), ("-5 +6 a-5 x5", "<*> <*> a-<*> x5"), ("99 bottles", "<*> bottles"), ("x_1", "x_1"), ("a1b2", "a1b2"),
     ("/var/log/app", "/var/log/app"), ("/var/log/app2/x y", "<*> y"), ("/deface/x ok", "/deface/x ok"), ("a /x/1.log b", "a <*> b"), ("n/a", "n/a"), ("/", "/"),
     ("id 123e4567-e89b-12d3-a456-426614174000.", "id <*>."), ("x123e4567-e89b-12d3-a456-426614174000", "x<*>-e89b-12d3-a456-<*>"),
-    ("blk_1blk_-2", "<*><*>"), ("myblk_1", "myblk_1"), ("blk_1abc", "blk_1abc"), ("blk_-38865049064139660 ok", "<*> ok"),
+    ("blk_1blk_-2", "<*><*>"), ("myblk_1", "myblk_1"), ("blk_1abc", "blk_1abc"), ("blk_-70000000000000011 ok", "<*> ok"),
     ("from 10.0.0.1:8080 to 1.2.3.4", "from <*> to <*>"), ("1.2.3.4:99999", "<*>.<*>.<*>.<*>:<*>"), ("256.1.1.1", "<*>.<*>.<*>.<*>"), ("001.002.003.004", "<*>"),
     ("::1 up", "<*> up"), ("fe80::1%eth0", "<*>%eth0"), ("[2001:db8::1]:443 x", "<*> x"), ("[::1] x", "<*> x"), ("ab:cd:ef:ab:cd:ef:ab:cd", "<*>"), ("1:2:3:4:5:6:7:8", "<*>"), ("::ffff:1.2.3.4 x", "<*> x"), ("std::move", "std::move"),
     ("2024-01-02T03:04:05.123Z go", "<*> go"), ("2024-01-02 03:04:05,1", "<*>,<*>"), ("2024-01-02 03:04:05 +01:00", "<*> <*>:<*>"), ("2024-01-02T03:04:05+0100", "<*>"), ("2024-13-02", "<*>-<*>-<*>"), ("on 2024-01-02 x", "on <*> x"),
@@ -41,7 +41,7 @@ def test_lexical_terms(spark):
         assert sorted(Q.lexical_terms(r.t)) == sorted(r.want), r.t
 
 
-YES = ["123e4567-e89b-12d3-a456-426614174000", "deadbee1", "0xdeadbee1", "1234", "ERR-5001", "blk_-1608999687919862906", "abc_x123", "10.0.0.1", "10.0.0.1:65535", "::1", "fe80::1", "[::1]:80", "/var/log", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4"]
+YES = ["123e4567-e89b-12d3-a456-426614174000", "deadbee1", "0xdeadbee1", "1234", "ERR-5001", "blk_-70000000000000013", "abc_x123", "10.0.0.1", "10.0.0.1:65535", "::1", "fe80::1", "[::1]:80", "/var/log", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4"]
 NO = ["deadbeef", "123", "10.0.0.1:65536", "10.0.0.256", "1::2::3", "[::1]", "/var", "hello", "a/b/c", "::", "ERR-12", "", "x" * 11 + "-1234"]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siftlog.session import dropped, written
@@ -23,15 +23,23 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _counted(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """links, written, with their number and a sum of their hashes, taken on the way."""
+    seen = Observation()
+    out = written(links.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "links")
+    return out, (seen.get["n"], seen.get["x"])
+
+
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node, root for each node of links(u, v), root the least node that it reaches. Raises if rounds don't suffice (they grow with the logarithm of the longest path)."""
-    now = written(links.select("u", "v").where("u <> v").distinct(), "links")
-    seen = None
-    for _ in range(most_rounds):
-        before, now = now, written(_star(_star(now, large=True), large=False), "links")
+    now, mark = _counted(links.select("u", "v").where("u <> v").distinct())
+    for _ in range(most_rounds if mark[0] else 0):
+        before, seen = now, mark
+        now, mark = _counted(_star(_star(now, large=True), large=False))
         dropped(before)
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        seen = mark
-    raise RuntimeError(f"components not settled after {most_rounds} rounds")
+            break
+    else:
+        if mark[0]:
+            raise RuntimeError(f"components not settled after {most_rounds} rounds")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

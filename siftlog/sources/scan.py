@@ -28,26 +28,57 @@ def _row(i: int, r) -> tuple:
     return i, r.source, r.line_number, r.byte_offset, r.byte_length, r.array_element, r.text, r.skip_reason, r.truncated
 
 
-#: Bytes of a plain text or JSON Lines file that one task reads.
+#: Bytes of a plain text or JSON Lines file that are read at a time.
 RANGE = 64 << 20
+#: Bytes that one task reads at most where it reads several parts, and what opening a file counts as.
+TASK, OPEN = 16 << 20, 64 << 10
 
 
-class _Part(InputPartition):
+class _Part:
     """A whole file, or with a first line the lines of a file that begin in [start, end)."""
 
     def __init__(self, index: int, path: str, start: int, end: int, first: int | None):
         self.index, self.path, self.start, self.end, self.first = index, path, start, end, first
 
 
+class _Parts(InputPartition):
+    """Parts (arguments of _Part) that one task reads, one after the other."""
+
+    def __init__(self, parts: list[list]):
+        self.parts = parts
+
+
+def _tasks(parts: list[list], cores: int) -> list[_Parts]:
+    """Parts, in their order, in runs of TASK bytes, of less where that would leave cores without work. Each file's first part counts OPEN bytes more."""
+    new = [not k or p[1] != parts[k - 1][1] for k, p in enumerate(parts)]
+    cost = [p[3] - p[2] + OPEN * n for p, n in zip(parts, new)]
+    most = min(TASK, sum(cost) // max(cores, 1))
+    out, load = [], 0
+    for p, c in zip(parts, cost):
+        if not out or load + c > most:
+            out.append([])
+            load = 0
+        out[-1].append(p)
+        load += c
+    return [_Parts(x) for x in out]
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.parts, self.field = json.loads(options["parts"]), options.get("jsonField", "message")
+    def __init__(self, parts, options):
+        self.parts, self.field, self.cores = parts, options.get("jsonField", "message"), int(options.get("cores", "1"))
         self.limits = Limits(**json.loads(options.get("limits", "{}")))
 
+    def __getstate__(self):
+        return self.__dict__ | {"parts": []}  # every task gets a copy of the reader; a list of all parts in each grows with their square
+
     def partitions(self):
-        return [_Part(*x) for x in self.parts]
+        return _tasks(self.parts, self.cores)
+
+    def read(self, parts) -> Iterator[tuple]:
+        for x in parts.parts if parts is not None else []:
+            yield from self._part(_Part(*x))
 
-    def read(self, part) -> Iterator[tuple]:
+    def _part(self, part: _Part) -> Iterator[tuple]:
         skipped: dict[str, int] = {}
         try:
             with open(part.path, "rb") as f:
@@ -77,7 +108,7 @@ class RecordSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return _Reader(json.loads(self.options.pop("parts")), self.options)  # taken out: the source goes to every task, too
 
 
 def by_line(path: str) -> bool:
@@ -133,7 +164,7 @@ def scan(spark: SparkSession, *paths: str, json_field: str = "message", limits:
     parts = []
     if own or not files:
         limit = (limits or Limits()).__dict__
-        parts.append(spark.read.format("siftlog").option("parts", json.dumps(_parts(spark, own, range_bytes))).option("jsonField", json_field).option("limits", json.dumps(limit)).load())
+        parts.append(spark.read.format("siftlog").option("parts", json.dumps(_parts(spark, own, range_bytes))).option("jsonField", json_field).option("limits", json.dumps(limit)).option("cores", spark.sparkContext.defaultParallelism).load())
     if plain := [(i, p) for i, p in stored if by_line(p)]:
         parts.append(_stored_lines(spark, plain, json_field))
     if whole := [(i, p) for i, p in stored if not by_line(p)]:

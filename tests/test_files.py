@@ -2,6 +2,7 @@ import gzip
 import io
 import json
 import os
+import pickle
 import tarfile
 import zipfile
 
@@ -14,7 +15,7 @@ from siftlog.plans.index import Index, build, check_lexical, check_policy, polic
 from siftlog.plans.search import LogSearch, search
 from siftlog.sources.decode import Limits, read_record, records
 from siftlog.sources.expand import expand, kind_of
-from siftlog.sources.scan import scan
+from siftlog.sources.scan import _Reader, _tasks, scan
 
 
 def shown(rs):
@@ -168,6 +169,22 @@ def test_scan_splits_files(spark, tmp_path):
         assert got == [(1, 0, "a"), (2, 2, None), (3, 3, "bb"), (4, 6, "ccc")]
 
 
+def test_many_ranges_are_few_tasks(spark, tmp_path):
+    """A task for each range, with a list of all ranges in each, took time with the square of the number of files."""
+    for i in range(300):
+        (tmp_path / f"{i:03}.log").write_text("".join(f"file {i} line {j}\n" for j in range(40)))
+    got = scan(spark, str(tmp_path), range_bytes=100)
+    assert got.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism + 1
+    rows = [(r.source_index, r.line_number, r.text) for r in got.collect()]
+    assert rows == [(i, j + 1, f"file {i} line {j}") for i in range(300) for j in range(40)]
+    parts = [[i, f"p{i}", 0, 10, 1] for i in range(1000)]
+    reader = _Reader(parts, {"cores": "4"})
+    assert [x for p in reader.partitions() for x in p.parts] == parts and 4 <= len(reader.partitions()) <= 5
+    assert len(pickle.dumps(reader)) < 500
+    big = [[0, "a", 0, 40 << 20, 1], [0, "a", 40 << 20, 41 << 20, 9], [1, "b", 0, 5, None]]
+    assert [len(p.parts) for p in _tasks(big, 1)] == [1, 2]
+
+
 def test_store_folders_and_probes(spark, tmp_path):
     (tmp_path / "d" / "e").mkdir(parents=True)
     (tmp_path / "d" / "b.log").write_text("two\n")

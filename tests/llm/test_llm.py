@@ -319,6 +319,33 @@ def test_classes_of_documents_equal_all_pairs(spark, docs):
     assert {d: r.class_id for d, r in got.items()} == brute_classes(prints)
 
 
+def test_recordings_hold_their_items_once(spark, docs, monkeypatch):
+    """While pairs are counted no second table of all items is there, and ids that tell rows apart need no hash beside them; repeated rows give the same classes."""
+    live, seen = {}, {}
+
+    def written(df, name, make=chroma.written):
+        out = make(df, name)
+        seen.setdefault(name, []).append(({*live.values()}, df.columns))
+        live[out._siftlog_path] = name
+        return out
+
+    def dropped(*tables, drop=chroma.dropped):
+        for t in tables:
+            live.pop(t._siftlog_path)
+        drop(*tables)
+
+    monkeypatch.setattr(chroma, "written", written)
+    monkeypatch.setattr(chroma, "dropped", dropped)
+    once = queries.op1_chroma(spark, SF).collect()
+    assert all(tables <= {"chroma-prints", "chroma-votes", "chroma-copies", "chroma-stars", "chroma-verified", "chroma-blocks", "chroma-rest"} for tables, _ in seen["chroma-pairs"])
+    assert all("items" not in columns for _, columns in seen["chroma-pairs"])
+    s = chroma.Settings(rate=11025, frame=256, hop=32, low=300.0, high=3520.0)
+    cuts = chroma.thresholds(docs.select(F.col("text").cast("binary").alias("blob")).where("blob is not null"), s)
+    assert chroma.fingerprints(docs, F.col("text").cast("binary"), s, cuts).where("sub <> 0").isEmpty()
+    twice = chroma.recordings(docs.unionByName(docs.where("doc_id < 5")), F.col("text").cast("binary"), s, cuts=cuts).collect()
+    assert {(r.doc_id, r.class_id) for r in twice} == {(r.doc_id, r.class_id) for r in once} and len(twice) == len(once) + docs.where("doc_id < 5").count()
+
+
 def test_documents_have_fingerprints(spark, docs):
     assert queries.op1_chroma(spark, SF).where("n_items = 0").count() == docs.where("coalesce(text, '') = ''").count()
 
